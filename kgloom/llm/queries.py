@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, kd_sharding, line_dedup, secret_scan, topk_search
-from kgloom.llm.common import read
+from kgloom.llm import bpe, decontamination, kd_sharding, language_id, line_dedup, secret_scan, topk_search
+from kgloom.llm.common import crc_mod, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -50,6 +50,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    net = language_id.fit(docs.where(~held_out))
+    return language_id.label_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), net, keep_text=False)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where the public rank file lies on the driver."""
     import public_tokenizers
@@ -63,6 +71,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"), keep_text=False)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.errors", F.col("leak.end").alias("end_pos"))
+
+
 @_query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
