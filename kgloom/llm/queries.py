@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, kd_sharding, language_id, line_dedup, secret_scan, topk_search
+from kgloom.llm import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, secret_scan, topk_search
 from kgloom.llm.common import crc_mod, read
 
 QUERIES: dict = {}
@@ -50,6 +50,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+@_query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=75, size=5)
+
+
 @_query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
