@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, secret_scan, topk_search
+from kgloom.llm import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, lm_scoring, secret_scan, topk_search
 from kgloom.llm.common import crc_mod, read
 
 QUERIES: dict = {}
@@ -63,6 +63,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), net, keep_text=False)
 
 
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where the public rank file lies on the driver."""
     import public_tokenizers
