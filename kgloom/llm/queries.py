@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, lm_scoring, secret_scan, topk_search
+from kgloom.llm import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, lm_scoring, quality, secret_scan, topk_search
 from kgloom.llm.common import crc_mod, read
 
 QUERIES: dict = {}
@@ -69,6 +69,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2)
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.score_quality(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Where the public rank file lies on the driver."""
     import public_tokenizers
