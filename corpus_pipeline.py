@@ -1,16 +1,72 @@
-"""The corpus pipeline: whole documents in, encoded training documents out."""
+"""The corpus pipeline: whole documents in, encoded training documents out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. Line dedup empties documents whose every line is frequent, such as those of large groups of exact copies:
+they stay, with an empty text, through the stages after it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgloom.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
+from kgloom.llm.common import stored
+
+#: Below this pooled probability no language explains a text; with few languages chance alone gives less.
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (und) and those that fit no learnt language. Where nothing could be learnt all stay."""
+    net = language_id.fit(docs)
+    if net is None:
+        return docs
+    labelled = language_id.label_documents(docs, net)
+    return labelled.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines out that 10 or more documents share; n_chars follows the text."""
+    kept = line_dedup.drop_frequent_lines(docs, min_docs=10, min_length=1)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the Jaccard join the document of least id stays, once; texts without words are no duplicates."""
+    found = jaccard_join.similar_documents(docs.select("doc_id", "text"), percent=75, size=5)
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
+    kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within the error budget go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontamination.find_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the hash of the bytes that they decode to."""
+    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
 
-STAGES: list = []
+#: SQL can express neither the network nor the merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)
