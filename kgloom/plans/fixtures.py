@@ -34,7 +34,7 @@ ENTITIES_SQL = """sized AS (SELECT count(*) AS n FROM embeddings), entities AS (
 ), edges AS (
   SELECT 'e' || vec_id AS head, 'r' || label AS relation, 'e' || ((vec_id * 7 + 3) % n) AS tail, vec_id AS line_no FROM embeddings, sized
 ), generated AS (
-  SELECT 'e' || vec_id AS head, 'r' || (label + vec_id // 100) % 10 AS relation, 'e' || ((vec_id * 11 + 5) % n) AS tail, vec_id // 1000 AS iteration FROM embeddings, sized WHERE vec_id % 100 = 0
+  SELECT 'e' || vec_id AS head, 'r' || (label + vec_id // 100) % 10 AS relation, 'e' || ((vec_id * 11 + 5) % n) AS tail, vec_id // 1000 AS iteration FROM embeddings, sized
 )"""
 
 KEYWORDS_SQL = """keyword_sets AS (
@@ -77,12 +77,12 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated triples over the entities: the stated query set, ids divisible by 100."""
+    """Generated triples over the entities, one for each."""
     e = table(spark, sf, "embeddings")
     n = e.count()
     name = lambda x: F.concat(F.lit("e"), x.cast("string"))
     relation = F.concat(F.lit("r"), ((F.col("label") + F.expr("vec_id div 100")) % 10).cast("string"))
-    return e.where("vec_id % 100 = 0").select(name(F.col("vec_id")).alias("head"), relation.alias("relation"), name((F.col("vec_id") * 11 + 5) % n).alias("tail"), F.expr("vec_id div 1000").alias("iteration"))
+    return e.select(name(F.col("vec_id")).alias("head"), relation.alias("relation"), name((F.col("vec_id") * 11 + 5) % n).alias("tail"), F.expr("vec_id div 1000").alias("iteration"))
 
 
 def keyword_sets(spark: SparkSession, sf: str) -> DataFrame:
