@@ -113,7 +113,7 @@ def tile_search(k: int):
             for r in batch.to_pylist():
                 dim = r["dim"]
                 qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = np.frombuffer(r["q_vectors"], r["q_kind"]).reshape(-1, dim).astype(np.int64), np.frombuffer(r["vectors"], r["kind"]).reshape(-1, dim).astype(np.int64)
+                q, c = np.frombuffer(r["q_vectors"], r["q_kind"]).reshape(len(qid), dim).astype(np.int64), np.frombuffer(r["vectors"], r["kind"]).reshape(len(cid), dim).astype(np.int64)
                 found = []
                 for lo in range(0, len(qid), 256):
                     scores = products(q[lo : lo + 256], c)
