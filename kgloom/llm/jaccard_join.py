@@ -135,11 +135,12 @@ def _block_rows(block: int, doc_ids: list, sets: list[np.ndarray], shards: int)
         for k in out:
             out[k].append(values.get(k))
 
+    home = int(mix(np.array([block], np.uint64))[0] % np.uint64(shards))  # what isn't asked of a shard travels with any
     number: dict[bytes, int] = {}
     own: list[np.ndarray] = []
     for doc_id, ids in zip(doc_ids, sets):
         sid = xxhash.xxh3_128_digest(ids.tobytes()) if len(ids) else None
-        row(key=block % shards, kind=DOC, id=doc_id, sid=sid, n=len(ids))
+        row(key=home, kind=DOC, id=doc_id, sid=sid, n=len(ids))
         if sid is not None and sid not in number:
             number[sid] = len(own)
             own.append(ids)
@@ -152,8 +153,8 @@ def _block_rows(block: int, doc_ids: list, sets: list[np.ndarray], shards: int)
         count = np.diff(np.append(first, len(ids)))
         several = np.repeat(count > 1, count)
         if several.any():
-            row(key=block % shards, kind=HIT, block=block, blob=pack(ids[several], owner[several]))
-        row(key=block % shards, kind=META, block=block, blob=np.array([len(x) for x in own], "<u4").tobytes(), sid=b"".join(number))
+            row(key=home, kind=HIT, block=block, blob=pack(ids[several], owner[several]))
+        row(key=home, kind=META, block=block, blob=np.array([len(x) for x in own], "<u4").tobytes(), sid=b"".join(number))
         asked, by = ids[first], np.where(count > 1, MARK, owner[first])
         shard = ((asked >> np.uint64(ID_BITS - 32)) * np.uint64(shards)) >> np.uint64(32)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -195,6 +196,14 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def objects(values: list) -> pd.Series:
+    """A column of values as they are, also where there are none."""
+    out = np.empty(len(values), object)
+    for i, v in enumerate(values):
+        out[i] = v
+    return pd.Series(out, dtype=object)
+
+
 def _assemble(percent: int):
     """applyInPandas function: a block's sets of which enough shingles are shared, with these shingles."""
 
@@ -202,7 +211,7 @@ def _assemble(percent: int):
         meta = frame[frame.kind == META]
         hits = [unpack(b) for b in frame[frame.kind == HIT].blob]
         if not len(meta) or not hits:
-            return pd.DataFrame({"sid": [], "n": [], "ids": []})
+            return pd.DataFrame({"sid": objects([]), "n": np.zeros(0, np.int32), "ids": objects([])})
         sizes = np.frombuffer(meta.blob.iloc[0], "<u4")
         names = meta.sid.iloc[0]
         ids, owner = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
@@ -210,7 +219,8 @@ def _assemble(percent: int):
         ids, owner = ids[order], owner[order]
         cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
         good = np.flatnonzero(np.diff(cuts) >= needed(sizes.astype(np.int64), percent))
-        return pd.DataFrame({"sid": [names[16 * k : 16 * k + 16] for k in good], "n": sizes[good].astype(np.int32), "ids": [np.sort(ids[cuts[k] : cuts[k + 1]]).astype(np.int64) for k in good]})
+        found = [np.sort(ids[cuts[k] : cuts[k + 1]]).astype(np.int64) for k in good]
+        return pd.DataFrame({"sid": objects([names[16 * k : 16 * k + 16] for k in good]), "n": sizes[good].astype(np.int32), "ids": objects(found)})
 
     return assemble
 
@@ -271,7 +281,7 @@ def _join_region(percent: int):
             if (new == hub).all():
                 break
             hub = new
-        return pd.DataFrame({"sid": names, "hub": [names[k] for k in hub], "links": links})[lambda f: f.links > 0]
+        return pd.DataFrame({"sid": objects(names), "hub": objects([names[k] for k in hub]), "links": links})[lambda f: f.links > 0]
 
     return join
 
@@ -306,8 +316,8 @@ def _cut(regions: DataFrame, percent: int, pivots: int, slice_rows: int, limit:
     # pivots by hash, about twice as many as asked for, of which the first are taken
     few = sized.where(F.pmod(F.xxhash64(F.lit(11), "sid"), F.lit(1 << 20)) < F.lit(1 << 20) * (2 * pivots + 8) / F.col("_size"))
     chosen = few.groupBy("region", "_size").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(5), "sid").alias("h"), "sid", "n", "ids"))), 1, pivots).alias("p"))
-    spread = chosen.select("region", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)).alias("slice"), "p").select("region", "slice", F.explode("p").alias("p")).select("region", "slice", "p.sid", "p.n", "p.ids")
-    cells = sliced.groupBy("region", "slice").cogroup(spread.groupBy("region", "slice")).applyInPandas(_pivot_distances(percent), "region binary, cell int, sid binary, n int, copies long, ids array<long>, side int")
+    spread = chosen.select("region", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)).alias("slice"), "p").select(F.col("region").alias("owner"), F.col("slice").alias("part"), F.explode("p").alias("p")).select("owner", "part", "p.sid", "p.n", "p.ids")
+    cells = sliced.groupBy("region", "slice").cogroup(spread.groupBy("owner", "part")).applyInPandas(_pivot_distances(percent), "region binary, cell int, sid binary, n int, copies long, ids array<long>, side int")
     return cells.select(F.unhex(F.md5(F.concat("region", F.col("cell").cast("string").cast("binary")))).alias("region"), "sid", "n", "copies", "ids", "side", F.lit(0).alias("mode"))
 
 
