@@ -91,6 +91,20 @@ def bm25_okapi(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _ranked(best.unionByName(filling), k).select("query_id", "rank", "doc_id", "pos", "score")
 
 
+def bm25_lucene_own(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As bm25_lucene where each query has a corpus of its own: chunks have a query_id, and counts and lengths are those of its chunks."""
+    tokenised = chunks.select("query_id", "doc_id", "pos", lucene_tokens(F.col("chunk")).alias("tokens"))
+    asked = queries.select("query_id", F.explode(lucene_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    corpus = tokenised.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    spread = tokenised.select("query_id", "doc_id", "pos", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked, ["query_id", "term"])
+    tf = spread.groupBy("query_id", "term", "times", "doc_id", "pos", "length").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("times") * idf * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"))
+    scores = tf.join(df, ["query_id", "term"]).join(corpus, "query_id").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    return _ranked(scores, k).select("query_id", "rank", "doc_id", "pos", "score")
+
+
 #: Retrieval methods by name.
 METHODS = {"bm25s": bm25_lucene, "rankbm25": bm25_okapi}
 
