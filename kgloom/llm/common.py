@@ -1,4 +1,4 @@
-"""Helpers of the training-data operators: shared scratch tables, names, row identity."""
+"""Helpers of the training-data operators: shared scratch tables, names, ASCII lower case, the split by crc32."""
 
 from __future__ import annotations
 
@@ -35,16 +35,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    path = df._stored_at
+    _written.remove((df.sparkSession, path))
+    _delete(df.sparkSession, path)
 
 
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
             return
 
@@ -64,16 +76,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def fingerprint(text: Column) -> Column:
-    """128 bits of a text, from two differently seeded 64-bit hashes."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
-
-
-def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with the columns given, in place of those it has by these names."""
-    return df.withColumns(columns)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
