@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
+_own: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,10 +24,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kgloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='kgloom-')}")
+    return (folder or _own[0]).rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
