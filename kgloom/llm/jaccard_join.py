@@ -359,7 +359,7 @@ def join_regions(regions: DataFrame, percent: int, limit: int = 1200, pivots: in
     return found
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = 1200, shard_bytes: int = 8 << 20, block_chars: int = 4 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = 1200, shard_bytes: int = 8 << 20, block_chars: int = 2 << 20) -> DataFrame:
     """id, n_shingles, component_id, n_links for each row of docs: the exact join of texts whose sets of word shingles have 100 * J >= percent.
 
     Words are runs of characters other than ASCII blanks, with A-Z lower-cased; a set holds the distinct shingles of
