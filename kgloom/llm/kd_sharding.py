@@ -12,18 +12,20 @@ from kgloom.llm.common import fresh, stored
 DIM_BITS, TIE_BITS = 30, 32
 
 
-def _bins(spark_df: DataFrame, node: str, cases: list[tuple[int, int, int, int, str]], bins: int, weight: str) -> dict[int, dict[int, int]]:
-    """Weight by node and bin; cases: (node, low, bin width, greatest bin, dimension). At most nodes x bins rows reach the driver."""
-    at = None
-    for k, low, width, most, dim in cases:
+def _bins(groups: DataFrame, node: str, cases: list[tuple[int, int, int, str]], bins: int, weight: str) -> dict[int, dict[int, tuple[int, int, int]]]:
+    """(weight, least and greatest coordinate) by node and bin; cases: (node, low, bin width, dimension). At most nodes x bins rows reach the driver."""
+    at = value = None
+    for k, low, width, dim in cases:
         offset = F.col(dim) - F.lit(low)
-        inside = (F.col(node) == k) & (offset >= 0) & (offset < F.lit(width * (most + 1)))
-        value = F.expr(f"cast(({dim} - {low}L) div {width}L as int)")
-        at = F.when(inside, value) if at is None else at.when(inside, value)
-    rows = spark_df.select(node, at.alias("_bin"), weight).where("_bin is not null").groupBy(node, "_bin").agg(F.sum(weight).alias("_w")).collect()
-    out: dict[int, dict[int, int]] = {k: {} for k, *_ in cases}
-    for k, b, w in rows:
-        out[k][b] = w
+        inside = (F.col(node) == k) & (offset >= 0) & (offset < F.lit(width * bins))
+        own = F.expr(f"cast(({dim} - {low}L) div {width}L as int)")
+        at = F.when(inside, own) if at is None else at.when(inside, own)
+        value = F.when(inside, F.col(dim)) if value is None else value.when(inside, F.col(dim))
+    binned = groups.select(node, at.alias("_bin"), value.alias("_x"), weight).where("_bin is not null")
+    rows = binned.groupBy(node, "_bin").agg(F.sum(weight).alias("_w"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).collect()
+    out: dict[int, dict[int, tuple[int, int, int]]] = {k: {} for k, *_ in cases}
+    for k, b, *found in rows:
+        out[k][b] = tuple(found)
     return out
 
 
@@ -32,7 +34,8 @@ def kd_assign(groups: DataFrame, dims: list[str], weight: str, shards: int, bins
 
     groups: a row with a weight for each group that must stay whole. dims: long coordinates. Each round of a level reads
     the groups once and brings back at most nodes x bins sums, so the driver's part is bounded whatever the input.
-    A split aims at the weight its leaves are due and falls between two groups.
+    A split aims at the weight its leaves are due and falls between two groups; a round narrows the place to the groups
+    of one bin, so rounds are few: the logarithm of their number to the base bins, about.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
@@ -53,22 +56,20 @@ def kd_assign(groups: DataFrame, dims: list[str], weight: str, shards: int, bins
             dim = max(dims, key=lambda d: ((r[f"{d}_hi"] >> TIE_BITS) - (r[f"{d}_lo"] >> TIE_BITS)) / whole[d])
             low, span = r[f"{dim}_lo"], r[f"{dim}_hi"] - r[f"{dim}_lo"]
             goals[k] = {"due": r["_w"] * (n // 2) / n, "left": 0, "cut": None, "dim": dim}
-            cases.append((k, low, span // bins + 1, bins - 1, dim))
+            cases.append((k, low, span // bins + 1, dim))
         while cases:
             sums, narrower = _bins(at, node, cases, bins, weight), []
-            for k, low, width, _, dim in cases:
-                g, hist = goals[k], sums[k]
-                for b in sorted(hist):
-                    if g["left"] + hist[b] > g["due"]:
-                        if width == 1:  # one group's coordinate: it goes to the side that this leaves nearer to what is due
-                            g["cut"] = low + b - (0 if g["left"] + hist[b] - g["due"] < g["due"] - g["left"] else 1)
+            for k, _, _, dim in cases:
+                g = goals[k]
+                for _, (w, lo, hi) in sorted(sums[k].items()):
+                    if g["left"] + w > g["due"]:
+                        if lo == hi:  # one coordinate: it goes to the side that this leaves nearer to what is due
+                            g["cut"] = lo if g["left"] + w - g["due"] < g["due"] - g["left"] else lo - 1
                         else:
-                            narrower.append((k, low + b * width, width // bins + 1, bins - 1, dim))
+                            narrower.append((k, lo, (hi - lo) // bins + 1, dim))
                         break
-                    g["left"] += hist[b]
-                else:
-                    g["cut"] = low + max(hist, default=0) * width + width - 1
-            cases = [(k, low, width, most, dim) for k, low, width, most, dim in narrower]
+                    g["left"], g["cut"] = g["left"] + w, hi
+            cases = narrower
         split: Column | None = None
         after = {}
         for k, n in todo.items():
