@@ -1,31 +1,37 @@
-"""Language-model scoring: a Pitman-Yor restaurant of words over restaurants of bytes that spell them, seated by Gibbs sampling, its predictive probabilities averaged."""
+"""Language-model scoring: Pitman-Yor restaurants of words after a word, over one of words, over restaurants of bytes that spell them, seated by Gibbs sampling, its predictive probabilities averaged."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import discard, stored
-from kgloom.llm.jaccard_join import _LOWER, word_hashes
-from kgloom.llm.pitman_yor import Spelling, discount_of, sample_spelling, seat, word_codes
+from kgloom.llm.jaccard_join import _LOWER, mix, word_hashes
+from kgloom.llm.pitman_yor import discount_of, sample_spelling, seat, word_codes
 
-#: The token that ends a text: no word holds a blank.
-STOP = b" "
+#: The token that ends a text, and that its first word follows: no word holds a blank. Its hash is as arbitrary as a word's.
+STOP, STOP_HASH = b" ", np.uint64(0x5BD1E995C2B2AE35)
 
-#: Rows of a block: a document (places of its words), or the words that it asks of a shard (with places and training counts).
+#: Rows of a block: a document (places of its words), or the words that it asks of a shard (with places and training counts) and the pairs whose first word they are.
 DOC, ASK = 0, 1
-ROWS = "kind int, block long, shard int, id long, held_out boolean, places binary, words binary, counts binary"
-_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), ("places", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-#: A shard's words, joined by line feeds, which no word holds, with customers, tables and summed probabilities.
-VOCABULARY = "shard int, words binary, c binary, t binary, p binary, n long, v long, once long, twice long, tables long, spelt double"
-_VOCABULARY = pa.schema([("shard", pa.int32()), *[(k, pa.binary()) for k in ("words", "c", "t", "p")], *[(k, pa.int64()) for k in ("n", "v", "once", "twice", "tables")], ("spelt", pa.float64())])
+ROWS = "kind int, block long, shard int, id long, held_out boolean, places binary, words binary, counts binary, runs binary, follow binary, pairs binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), *[(k, pa.binary()) for k in ("places", "words", "counts", "runs", "follow", "pairs")]])
+#: Rows of a shard. WORD: its words, joined by line feeds, which no word holds, with occurrences, customers, tables. PAIR:
+#: the contexts (words of the shard, by hash), how many words follow each, the words met there (by hash), and which of
+#: them follow, with customers and tables.
+#: REPLY: to a shard of pairs, customers less discounts and spelling probabilities of words that it called for.
+WORD, PAIR, REPLY = 0, 1, 2
+_BLOBS, _SUMS = ("words", "contexts", "runs", "met", "follow", "n", "c", "t", "samples"), ("total", "kinds", "once", "twice", "customers", "tables")
+STATE = ", ".join(["kind int, shard int, source int", *[f"{k} binary" for k in _BLOBS], *[f"{k} long" for k in _SUMS], "spelt double"])
+_STATE = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("source", pa.int32()), *[(k, pa.binary()) for k in _BLOBS], *[(k, pa.int64()) for k in _SUMS], ("spelt", pa.float64())])
+CALLS = "shard int, source int, follow binary, t binary"
+_CALLS = pa.schema([("shard", pa.int32()), ("source", pa.int32()), ("follow", pa.binary()), ("t", pa.binary())])
 
 
 def planes(x: np.ndarray, kind: str = "<u4") -> bytes:
@@ -39,18 +45,35 @@ def unplaned(blob: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, len(blob) // size).T).view(kind).ravel()
 
 
-def _tokens(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The block's distinct words, and the places of each text's words among them."""
+def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """The block's distinct words, their hashes, and the places of each text's words among them."""
     joined = b" ".join(texts)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.cumsum(lens + 1) - lens - 1
     data = _LOWER[np.frombuffer(joined, np.uint8)]
     hashes, start = word_hashes(data)
-    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     lower = data.tobytes()
     words = [lower[a : a + 256].split(None, 1)[0] if (w := lower[a : a + 256]) and len(w.split(None, 1)[0]) < 256 else lower[a:].split(None, 1)[0] for a in start[first].tolist()]
     cuts = np.searchsorted(start, np.append(at, len(joined) + 1))
-    return words, [place[a:b] for a, b in zip(cuts, cuts[1:])]
+    return words, known, [place[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _pairs(places: list[np.ndarray], stop: int) -> list[np.ndarray]:
+    """For each text its pairs of neighbours, first * (stop + 1) + second; the end stands before the first word, too."""
+    return [np.append(stop, p) * (stop + 1) + np.append(p, stop) for p in (q.astype(np.int64) for q in places)]
+
+
+def _hashed(blob: bytes) -> np.ndarray:
+    """Hashes of words joined by line feeds, the end token among them."""
+    words = blob.split(b"\n")
+    out = np.full(len(words), STOP_HASH)
+    out[[w != STOP for w in words]] = word_hashes(np.frombuffer(blob, np.uint8))[0] if words != [STOP] else []
+    return out
+
+
+def _keys(contexts: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    return mix(contexts * np.uint64(0x9E3779B97F4A7C15) + follow)
 
 
 def _blocks(chars: int, shards: int):
@@ -69,45 +92,68 @@ def _blocks(chars: int, shards: int):
                     total += len(part[-1])
                     hi += 1
                 block += 1
-                words, places = _tokens(part)
+                words, hashes, places = _tokens(part)
                 held = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 learnt = [p for p, h in zip(places, held) if not h]
                 counts = np.append(np.bincount(np.concatenate(learnt), minlength=len(words)) if learnt else np.zeros(len(words), np.int64), len(learnt))
                 words.append(STOP)
+                hashes = np.append(hashes, STOP_HASH)
+                both = _pairs(places, len(words) - 1)
+                met, place = np.unique(np.concatenate(both), return_inverse=True)
+                first, second = met // len(words), met % len(words)
+                twos = np.bincount(place, np.repeat(~held, [len(x) for x in both]), len(met)).astype(np.int64)
                 n, none = hi - lo, lambda kind: pa.nulls(hi - lo, kind)  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array([DOC] * n, pa.int32()), pa.array([block] * n, pa.int64()), none(pa.int32()), batch.column(0).slice(lo, n), pa.array(held), pa.array([planes(p) for p in places], pa.binary()), none(pa.binary()), none(pa.binary())], schema=_ROWS)
-                shard = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % shards
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                blobs = [pa.array([planes(p) for p in places], pa.binary()), *[none(pa.binary())] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array([DOC] * n, pa.int32()), pa.array([block] * n, pa.int64()), none(pa.int32()), batch.column(0).slice(lo, n), pa.array(held), *blobs], schema=_ROWS)
+                shard = (hashes % np.uint64(shards)).astype(np.int64)
+                order, of_pair = np.argsort(shard, kind="stable"), np.argsort(shard[first], kind="stable")
+                cuts, ends = np.searchsorted(shard[order], np.arange(shards + 1)), np.searchsorted(shard[first][of_pair], np.arange(shards + 1))
+                runs = np.bincount(first, minlength=len(words))
                 rows = []
                 for k in range(shards):
-                    at = order[cuts[k] : cuts[k + 1]]
+                    at, on = order[cuts[k] : cuts[k + 1]], of_pair[ends[k] : ends[k + 1]]
                     if len(at):
-                        rows.append({"kind": ASK, "block": block, "shard": k, "places": planes(at), "words": b"\n".join([words[i] for i in at]), "counts": planes(counts[at])})
+                        rows.append({"kind": ASK, "block": block, "shard": k, "places": planes(at), "words": b"\n".join([words[i] for i in at]), "counts": planes(counts[at]), "runs": planes(runs[at]), "follow": planes(hashes[second[on]], "<u8"), "pairs": planes(twos[on])})
                 yield pa.RecordBatch.from_pylist(rows, _ROWS)
                 lo = hi
 
     return emit
 
 
-def _vocabulary_row(shard: int, words: list[bytes], c: np.ndarray, t: np.ndarray, p: np.ndarray, spelt: float) -> dict:
+def _row(kind: int, shard: int, c: np.ndarray, t: np.ndarray, samples: bytes, n: np.ndarray | None = None, **others) -> dict:
     return {
-        "shard": shard, "words": b"\n".join(words), "c": planes(c, "<i8"), "t": planes(t, "<i8"), "p": planes(p, "<f4"), "n": int(c.sum()), "v": len(c),
-        "once": int((c == 1).sum()), "twice": int((c == 2).sum()), "tables": int(t.sum()), "spelt": spelt,
+        "kind": kind, "shard": shard, "c": planes(c, "<i8"), "t": planes(t, "<i8"), "samples": samples, **others, "n": None if n is None else planes(n, "<i8"), "total": int(c.sum() if n is None else n.sum()), "kinds": len(c),
+        "once": int((c == 1).sum()), "twice": int((c == 2).sum()), "customers": int(c.sum()), "tables": int(t.sum()),
     }
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """The learnt words of a shard, from what all blocks asked of it."""
-    total: dict[bytes, int] = {}
-    for words, counts in zip(table.column("words"), table.column("counts")):
-        for w, c in zip(words.as_py().split(b"\n"), unplaned(counts.as_py()).tolist()):
-            if c:
-                total[w] = total.get(w, 0) + c
-    words = sorted(total)
-    c = np.fromiter((total[w] for w in words), np.int64, len(words))
-    rows = [_vocabulary_row(table.column("shard")[0].as_py(), words, c, np.ones(len(c), np.int64), np.zeros(len(c)), 0.0)] if words else []
-    return pa.Table.from_pylist(rows, _VOCABULARY)
+    """The learnt words of a shard and the pairs that start with them, from what all blocks asked of it."""
+    shard = table.column("shard")[0].as_py()
+    names, hashes, counts, contexts, follow, twos = [], [], [], [], [], []
+    for r in table.to_pylist():
+        own, n, m = _hashed(r["words"]), unplaned(r["counts"]), unplaned(r["pairs"])
+        learnt = n > 0
+        names += [w for w, yes in zip(r["words"].split(b"\n"), learnt) if yes]
+        hashes.append(own[learnt])
+        counts.append(n[learnt])
+        contexts.append(np.repeat(own, unplaned(r["runs"]))[m > 0])
+        follow.append(unplaned(r["follow"], "<u8")[m > 0])
+        twos.append(m[m > 0])
+    hashes, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    if not len(hashes):
+        return pa.Table.from_pylist([], _STATE)
+    n = np.bincount(place, np.concatenate(counts)).astype(np.int64)
+    contexts, follow = np.concatenate(contexts), np.concatenate(follow)
+    order = np.lexsort((follow, contexts))
+    contexts, follow, twos = contexts[order], follow[order], np.concatenate(twos).astype(np.int64)[order]
+    new = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (follow[1:] != follow[:-1]))[: len(contexts)])
+    c = np.add.reduceat(twos, new) if len(new) else np.zeros(0, np.int64)
+    rows = [_row(WORD, shard, np.ones(len(n), np.int64), np.ones(len(n), np.int64), b"", n, words=b"\n".join([names[i] for i in first]))]
+    known, runs = np.unique(contexts[new], return_counts=True)
+    met, which = np.unique(follow[new], return_inverse=True)
+    rows.append(_row(PAIR, shard, c, np.ones(len(c), np.int64), b"", contexts=planes(known, "<u8"), runs=planes(runs), met=planes(met, "<u8"), follow=planes(which)))
+    return pa.Table.from_pylist(rows, _STATE)
 
 
 def _spelled(words: list[bytes]) -> list[bytes]:
@@ -127,104 +173,237 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(sums, pa.int64())})
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], shared=None, discount: float = 0.5, concentration: float = 1.0, customers: int = 0, tables: int = 0, counted: bool = True, seed: int = 0) -> Iterator[pa.RecordBatch]:
-    """One sweep over words: adds the current seating's probability of each to its sum, and seats its customers anew."""
-    spelling: Spelling = shared.value
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            words, c, t, p = r["words"].split(b"\n"), unplaned(r["c"], "<i8"), unplaned(r["t"], "<i8"), unplaned(r["p"], "<f4")
-            codes, owner = word_codes(_spelled(words))
-            spelt = 10.0 ** np.bincount(owner, spelling.log10(codes), len(words))
-            if counted:
-                p = p + ((c - discount * t) + (concentration + discount * tables) * spelt) / (concentration + customers)
-            rng = np.random.default_rng([seed, r["shard"]])
-            t = seat(c, discount, (concentration + discount * np.maximum(0, tables - t)) * spelt, rng)
-            rows.append(_vocabulary_row(r["shard"], words, c, t, p, float(spelt.sum())))
-        yield pa.RecordBatch.from_pylist(rows, _VOCABULARY)
-
-
-ANSWERS = "block long, places binary, c binary, p binary"
-_ANSWERS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("c", pa.binary()), ("p", pa.binary())])
-
-
-def _answer(samples: int, unknown: float):
-    """Cogrouped function: to each block that asked a shard, its words' counts and probabilities."""
-
-    def answer(asks: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        c, p = np.zeros(1, np.int64), np.full(1, unknown)
-        for r in vocabulary.to_pylist():
-            known = {w: i + 1 for i, w in enumerate(r["words"].split(b"\n"))}
-            c, p = np.append(c, unplaned(r["c"], "<i8")), np.append(p, unplaned(r["p"], "<f4").astype(float) / samples)
+def _calls(shards: int):
+    """mapInArrow function: tables that a shard of pairs has of each word, to the shards of the words."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                met = unplaned(r["met"], "<u8")
+                t = np.bincount(unplaned(r["follow"]), unplaned(r["t"], "<i8"), len(met))
+                to = (met % np.uint64(shards)).astype(int)
+                order = np.argsort(to, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                    if len(at):
+                        rows.append({"shard": int(to[at[0]]), "source": r["shard"], "follow": planes(met[at], "<u8"), "t": planes(t[at], "<i8")})
+            yield pa.RecordBatch.from_pylist(rows, _CALLS)
+
+    return call
+
+
+def _seat_words(shared, discount: float, concentration: float, tables: int, counted: bool, seed: int):
+    """Cogrouped function: the tables that words have in all contexts are seated anew in the restaurant of words, and who called is told of them."""
+
+    def sweep(calls: pa.Table, words: pa.Table) -> pa.Table:
+        rows, calls = [], calls.to_pylist()
+        for r in words.to_pylist():
+            names, hashes, old = r["words"].split(b"\n"), _hashed(r["words"]), unplaned(r["t"], "<i8")
+            order = np.argsort(hashes)
+            places = [order[np.searchsorted(hashes, unplaned(x["follow"], "<u8"), sorter=order)] for x in calls]
+            c = np.zeros(len(names), np.int64)
+            for at, x in zip(places, calls):
+                c[at] += unplaned(x["t"], "<i8")
+            codes, owner = word_codes(_spelled(names))
+            spelt = 10.0 ** np.bincount(owner, shared.value.log10(codes), len(names))
+            t = seat(c, discount, (concentration + discount * np.maximum(0, tables - old)) * spelt, np.random.default_rng([seed, r["shard"]]))
+            a = c - discount * t
+            samples = r["samples"] + (planes(a, "<f8") + planes(spelt, "<f8") if counted else b"")
+            rows.append(_row(WORD, r["shard"], c, t, samples, unplaned(r["n"], "<i8"), words=r["words"], spelt=float(spelt.sum())))
+            rows += [{"kind": REPLY, "shard": x["source"], "source": r["shard"], "c": planes(a[at], "<f4"), "t": planes(spelt[at], "<f4")} for at, x in zip(places, calls)]
+        return pa.Table.from_pylist(rows, _STATE)
+
+    return sweep
+
+
+def _seat_pairs(shards: int, discount: float, concentration: float, mass: float, customers: float, counted: bool, seed: int):
+    """Cogrouped function: in each context, its words' customers are seated anew below the restaurant of words; mass is what that gives to spelling."""
+
+    def sweep(pairs: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, replies = [], sorted(replies.to_pylist(), key=lambda x: x["source"])
+        for r in pairs.to_pylist():
+            met, place, runs, c, old = unplaned(r["met"], "<u8"), unplaned(r["follow"]), unplaned(r["runs"]), unplaned(r["c"], "<i8"), unplaned(r["t"], "<i8")
+            p = np.empty(len(met))
+            p[np.argsort(met % np.uint64(shards), kind="stable")] = np.concatenate([(unplaned(x["c"], "<f4") + mass * unplaned(x["t"], "<f4").astype(float)) / customers for x in replies])
+            context = np.repeat(np.arange(len(runs)), runs)
+            whole = np.bincount(context, old, len(runs))[context]
+            t = seat(c, discount, (concentration + discount * (whole - old)) * p[place], np.random.default_rng([seed, r["shard"], 1]))
+            rows.append(_row(PAIR, r["shard"], c, t, r["samples"] + (planes(old, "<u4") if counted else b""), contexts=r["contexts"], runs=r["runs"], met=r["met"], follow=r["follow"]))
+        return pa.Table.from_pylist(rows, _STATE)
+
+    return sweep
+
+
+ANSWERS = "block long, shard int, places binary, c binary, p binary, new binary, share binary, total binary, pairs binary, tables binary"
+_ANSWERS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("places", "c", "p", "new", "share", "total", "pairs", "tables")]])
+
+
+def _answer(spellings: list, levels: list[tuple[float, float, float]], discount: float, concentration: float):
+    """Cogrouped function: to each block that asked a shard, its words' counts and probabilities, and what their contexts hold.
+
+    levels: for each sample the mass that the restaurant of words gives to spelling, its customers with the
+    concentration, and the share of spellings that no learnt word has. Of a word each sample has log10 p, that of all
+    other words for one not learnt, and there (new) that of its own spelling; of a context what it leaves to the
+    restaurant of words, and its customers; of a pair the customers, and the tables of all samples.
+    """
+
+    def answer(asks: pa.Table, state: pa.Table) -> pa.Table:
+        size = len(levels)
+        hashes, n, logs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((size, 0))
+        contexts, shares, keys = np.zeros(0, np.uint64), np.zeros((size, 0)), np.zeros(0, np.uint64)
+        whole = many = seats = np.zeros(0, np.int64)
+        for r in state.to_pylist():
+            if r["kind"] == WORD:
+                hashes, n = _hashed(r["words"]), unplaned(r["n"], "<i8")
+                blobs = [unplaned(r["samples"][i : i + 8 * len(n)], "<f8") for i in range(0, len(r["samples"]), 8 * len(n))]
+                logs = np.log10(np.stack([(a + mass * s) / customers for a, s, (mass, customers, _) in zip(blobs[::2], blobs[1::2], levels)]))
+                order = np.argsort(hashes)
+                hashes, n, logs = hashes[order], n[order], logs[:, order]
+            else:
+                contexts, runs, c = unplaned(r["contexts"], "<u8"), unplaned(r["runs"]), unplaned(r["c"], "<i8")
+                context = np.repeat(np.arange(len(runs)), runs)
+                whole = np.bincount(context, c, len(runs)).astype(np.int64)
+                t = np.stack([unplaned(r["samples"][i : i + 4 * len(c)]) for i in range(0, len(r["samples"]), 4 * len(c))]).astype(np.int64)
+                shares = np.stack([(concentration + discount * np.bincount(context, x, len(runs))) / (concentration + whole) for x in t])
+                keys = _keys(contexts[context], unplaned(r["met"], "<u8")[unplaned(r["follow"])])
+                order = np.argsort(keys)
+                keys, many, seats = keys[order], c[order], t.sum(0)[order]
         rows = []
-        for block, words, places in zip(asks.column("block"), asks.column("words"), asks.column("places")):
-            at = np.array([known.get(w, 0) for w in words.as_py().split(b"\n")])
-            rows.append({"block": block.as_py(), "places": places.as_py(), "c": planes(c[at], "<i8"), "p": planes(p[at], "<f4")})
+        for r in asks.to_pylist():
+            words, asked, runs, follow = r["words"].split(b"\n"), _hashed(r["words"]), unplaned(r["runs"]), unplaned(r["follow"], "<u8")
+            at, known = _found(hashes, asked)
+            c, p, share = np.zeros(len(asked), np.int64), np.zeros((size, len(asked))), np.ones((size, len(asked)))
+            c[known], p[:, known] = n[at[known]], logs[:, at[known]]
+            new = np.flatnonzero(~known)
+            codes, owner = word_codes(_spelled([words[i] for i in new])) if len(new) else (None, None)
+            spelt = np.zeros((size, len(new)))
+            for i, (mass, customers, others) in enumerate(levels if len(new) else []):
+                p[i, new] = np.log10(mass / customers * others)
+                spelt[i] = np.log10(mass / customers) + np.bincount(owner, spellings[i].value.log10(codes), len(new))
+            at, met = _found(contexts, asked)
+            total = np.zeros(len(asked), np.int64)
+            share[:, met], total[met] = shares[:, at[met]], whole[at[met]]
+            at, met = _found(keys, _keys(np.repeat(asked, runs), follow))
+            mine = np.zeros((2, len(follow)), np.int64)
+            mine[:, met] = many[at[met]], seats[at[met]]
+            rows.append({"block": r["block"], "shard": r["asked"], "places": r["places"], "c": planes(c, "<i8"), "p": planes(p.ravel(), "<f4"), "new": planes(spelt.ravel(), "<f4"), "share": planes(share.ravel(), "<f4"), "total": planes(total, "<i8"), "pairs": planes(mine[0], "<i8"), "tables": planes(mine[1], "<i8")})
         return pa.Table.from_pylist(rows, _ANSWERS)
 
     return answer
 
 
-def _score_block(n: int, v: int):
-    """Cogrouped function: documents of a block, and what became of its words."""
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of what is asked among sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+
+
+def _score_block(n: int, v: int, samples: int, discount: float, concentration: float):
+    """Cogrouped function: documents of a block, and what became of its words and pairs."""
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        place = np.concatenate([unplaned(x) for x in answers.places] or [np.zeros(1, int)])
-        c, lp = np.zeros(int(place.max()) + 1), np.full(int(place.max()) + 1, np.nan)
-        size = len(c)
-        if len(answers):
-            c[place], lp[place] = np.concatenate([unplaned(x, "<i8") for x in answers.c]), np.log10(np.concatenate([unplaned(x, "<f4") for x in answers.p]).astype(float))
+        places = [unplaned(x) for x in answers.places]
+        place, label = np.concatenate(places), np.repeat(answers.shard.to_numpy(), [len(x) for x in places])
+        size = len(place)
+        c, shard, p, share = np.zeros(size), np.zeros(size, int), np.zeros((samples, size)), np.zeros((samples, size))
+        c[place], shard[place] = np.concatenate([unplaned(x, "<i8") for x in answers.c]), label
+        p[:, place] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.p], axis=1)
+        share[:, place] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.share], axis=1)
+        total = np.zeros(size)
+        total[place] = np.concatenate([unplaned(x, "<i8") for x in answers.total])
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         stop = size - 1
-        out = []
-        for doc in docs.itertuples():
-            at = np.append(unplaned(doc.places), stop)
-            out.append((doc.id, bool(doc.held_out), len(at), int((c[at] > 0).sum()), n, float(base[at].sum()), float(lp[at].sum())))
-        frame = pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        texts = [unplaned(x) for x in docs.places]
+        both = _pairs(texts, stop)
+        met, of_text = np.unique(np.concatenate(both), return_inverse=True)
+        first, second = met // size, met % size
+        own = np.empty(len(met))
+        by_shard = [unplaned(a, "<i8") - discount * unplaned(b, "<i8") / samples for _, a, b in sorted(zip(answers.shard, answers.pairs, answers.tables), key=lambda x: x[0])]
+        own[np.argsort(shard[first], kind="stable")] = np.concatenate(by_shard)
+        own /= concentration + total[first]
+        spelt = p.copy()
+        spelt[:, place[np.concatenate([unplaned(x, "<i8") for x in answers.c]) == 0]] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.new], axis=1)
+
+        def mixed(p: np.ndarray) -> np.ndarray:
+            back = np.log10(share[:, first]) + p[:, second]
+            top = back.max(0)
+            back = top + np.log10((10.0 ** (back - top)).mean(0))
+            return np.where(own > 0, np.log10(own + 10.0**back), back)[of_text]
+
+        lp, whole = mixed(p), mixed(spelt)
+        ends, out = np.cumsum([len(x) for x in both]), []
+        for doc, text, end in zip(docs.itertuples(), texts, ends):
+            at = np.append(text, stop)
+            out.append((doc.id, bool(doc.held_out), len(at), int((c[at] > 0).sum()), n, float(base[at].sum()), float(lp[end - len(at) : end].sum()), float(whole[end - len(at) : end].sum())))
+        frame = pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"])
         return frame.astype({"id": "Int64"})
 
     return score
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, concentration: float = 10.0, block_chars: int = 5_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs.
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps when the driver's garbage collector finds them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, concentration: float = 10.0, context_concentration: float = 1.0, block_chars: int = 5_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, open_score for each row of docs.
 
     Learns from the rows whose held_out is false. Tokens are runs of characters other than ASCII blanks, with A-Z
-    lower-cased, and one end for each text. score is the log10 probability of a text's tokens, words that were not
-    learnt being one token, as in the base: the mean, over samples seatings after burn_in sweeps, of the word
-    restaurant's predictive probabilities, whose parent spells a word by bytes in shared contexts. What the parent gives
-    to all other words is the unknown token's. perplexity is 10 ** (-score / n_tokens). base_score adds one to the
-    counts: log10((c + 1) / (N + 1 * (V + 1))).
+    lower-cased, and one end for each text. score is the log10 probability of a text's tokens: the mean, over samples
+    seatings after burn_in sweeps, of predictive probabilities. A word follows the word before it (the first one an
+    end) in that word's restaurant; the parent of all these is the restaurant of words, whose customers are their
+    tables; its parent spells a word by bytes in shared contexts. In score words that were not learnt are one token, as
+    in the base, of what the parent gives to all of them; in open_score each has the probability of its own spelling.
+    perplexity is 10 ** (-score / n_tokens). base_score adds one to the counts: log10((c + 1) / (N + 1 * (V + 1))).
 
     Null and empty texts are one end token; a null held_out counts as false; repeated rows are scored, and learnt
     from, as often as they are there; an empty table gives an empty result; other columns are ignored.
 
-    Words are counted within a block of texts before they are shuffled, so a word costs at most an entry a block however
-    often it occurs; shards of the vocabulary, as many as the corpus asks for, sum the counts, and each block gets back
-    what its words are worth. Words are seated in their shards; only sums of byte contexts, at most 2**24 whatever the
-    corpus, reach the driver, and the spelling model they give is as bounded.
+    Words and pairs of neighbours are counted within a block of texts before they are shuffled, so each costs at most
+    an entry a block however often it occurs; shards, as many as the corpus asks for, sum the counts, and each block
+    gets back what its words and pairs are worth. A word's shard also holds what follows the word, by 64-bit hash; in a
+    sweep it tells the shards of those words its tables and is told their probabilities. Only sums of byte contexts, at
+    most 2**24 whatever the corpus, reach the driver, and the spelling model they give is as bounded.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = stored(slim.mapInArrow(_blocks(block_chars, max(8, -(-total // shard_bytes))), ROWS), "lm-blocks")
-    asks = rows.where(f"kind = {ASK}").select("block", "shard", "places", "words", "counts")
-    vocabulary = stored(asks.select("shard", "words", "counts").groupBy("shard").applyInArrow(_count, VOCABULARY), "lm-words")
-    sums = lambda: vocabulary.agg(*[F.coalesce(F.sum(k), F.lit(0)) for k in ("n", "v", "once", "twice", "tables", "spelt")]).first()
-    n, v, once, twice, tables, _ = sums()
-    discount, unknown = discount_of(np.array([1, 2]), np.array([once, twice], float)), 0.0
+    shards = max(8, -(-total // shard_bytes))
+    rows = stored(slim.mapInArrow(_blocks(block_chars, shards), ROWS), "lm-blocks")
+    asks = rows.where(f"kind = {ASK}").drop("kind", "id", "held_out")
+    counted = stored(asks.groupBy("shard").applyInArrow(_count, STATE), "lm-words")
+    _let_go(spark)
+    words, pairs, old = counted.where(f"kind = {WORD}"), counted.where(f"kind = {PAIR}"), [counted]
+    sums = lambda state: state.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*_SUMS, "spelt")]).first()
+    one, two = sums(words), sums(pairs)
+    n, v, tables = one.total, one.kinds, one.tables
+    below = discount_of(np.array([1, 2]), np.array([two.once, two.twice], float))
+    discount, spellings, levels = below, [], []
     for k in range(burn_in + samples):
-        letters = vocabulary.select("words", "t").mapInArrow(_letters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-        spelling = sample_spelling(letters.code.to_numpy(np.int64), letters.n.to_numpy(np.int64), seed=k + 1)
-        sweep = partial(_sweep, shared=spark.sparkContext.broadcast(spelling), discount=discount, concentration=concentration, customers=n, tables=tables, counted=k >= burn_in, seed=k + 1)
-        before, vocabulary = vocabulary, stored(vocabulary.mapInArrow(sweep, VOCABULARY), "lm-words")
-        discard(before)
-        after = sums()
-        if k >= burn_in:
-            unknown += (concentration + discount * tables) / (concentration + n) * max(1e-12, 1 - after[5]) / samples
-        tables = after[4]
-    answers = asks.select("block", F.col("shard").alias("asked"), "places", "words").groupBy("asked").cogroup(vocabulary.select("shard", "words", "c", "p").groupBy("shard")).applyInArrow(_answer(samples, unknown), ANSWERS)
+        letters = words.select("words", "t").mapInArrow(_letters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        spelling = spark.sparkContext.broadcast(sample_spelling(letters.code.to_numpy(np.int64), letters.n.to_numpy(np.int64), seed=k + 1))
+        keep = k >= burn_in
+        calls = pairs.select("shard", "met", "follow", "t").mapInArrow(_calls(shards), CALLS)
+        told = stored(calls.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_seat_words(spelling, discount, concentration, tables, keep, k + 1), STATE), "lm-words")
+        words = told.where(f"kind = {WORD}")
+        one = sums(words)
+        tables, mass, customers = one.tables, concentration + discount * one.tables, concentration + one.customers
+        replies = told.where(f"kind = {REPLY}")
+        pairs = stored(pairs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_seat_pairs(shards, below, context_concentration, mass, customers, keep, k + 1), STATE), "lm-pairs")
+        for table in old:
+            discard(table)
+        old = [told, pairs]
+        _let_go(spark)
+        if keep:
+            spellings.append(spelling)
+            levels.append((mass, customers, max(1e-12, 1 - one.spelt)))
+        else:
+            discount = discount_of(np.array([1, 2]), np.array([one.once, one.twice], float))
+    _let_go(spark)
+    asked = asks.select("block", F.col("shard").alias("asked"), "places", "words", "runs", "follow")
+    answers = asked.groupBy("asked").cogroup(words.unionByName(pairs).groupBy("shard")).applyInArrow(_answer(spellings, levels, below, context_concentration), ANSWERS)
     texts = rows.where(f"kind = {DOC}").select(F.col("block").alias("own"), "id", "held_out", "places")
-    scored = texts.groupBy("own").cogroup(answers.groupBy("block")).applyInPandas(_score_block(n, v), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    scored = texts.groupBy("own").cogroup(answers.groupBy("block")).applyInPandas(_score_block(n, v, samples, below, context_concentration), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, open_score double")
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"), "open_score")

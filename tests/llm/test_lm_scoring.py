@@ -67,3 +67,37 @@ def test_better_than_the_base_on_held_out_texts(spark, sf):
 
     held = [r for r in QUERIES["op5_lm_scoring"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
+def test_order_and_spelling_count(spark):
+    """A text and its words shuffled differ, and so do a plausible new word and line noise."""
+    learnt = [(i, "the cat sat on the mat and the dog ran to the barn") for i in range(30)]
+    asked = [(100, "the cat sat on the mat"), (101, "mat the on sat cat the"), (102, "the canter"), (103, "the q#7~Zx")]
+    df = spark.createDataFrame(learnt + asked, "doc_id long, text string")
+    got = {r.doc_id: r for r in M.score_documents(df, F.col("doc_id") >= 100, block_chars=200, shard_bytes=200).collect()}
+    assert len(got) == 34 and got[100].base_score == got[101].base_score and got[102].base_score == got[103].base_score
+    assert got[100].score > got[101].score + 3 and got[102].open_score > got[103].open_score + 1
+
+
+def test_next_words_are_a_distribution():
+    """What a context gives to learnt words, and leaves to others, sums to one in each sample."""
+    words, c, t, spelt, d, th = b" \na\nb", np.array([3, 4, 1]), np.array([2, 1, 1]), np.array([0.1, 0.2, 0.3]), 0.5, 10.0
+    hashes = M._hashed(words)
+    order = np.argsort(hashes)
+    mass, customers = th + d * t.sum(), th + c.sum()
+    blob = lambda *xs: b"".join(M.planes(x, "<f8") for x in xs)
+    a = c - d * t
+    known = M._row(M.WORD, 0, c, t, blob(a, spelt, a, spelt), c, words=words)
+    many, seats = np.array([5, 2]), [np.array([2, 1]), np.array([3, 2])]
+    pairs = M._row(M.PAIR, 0, many, seats[1], M.planes(seats[0]) + M.planes(seats[1]), contexts=M.planes(hashes[1:2], "<u8"), runs=M.planes(np.array([2])), met=M.planes(hashes[order][:2], "<u8"), follow=M.planes(np.arange(2)))
+    ask = {"block": 1, "asked": 0, "places": M.planes(np.arange(4)), "words": words + b"\nzq", "runs": M.planes(np.array([0, 3, 0, 0])), "follow": M.planes(hashes, "<u8")}
+    spelling = Y.sample_spelling(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    one = collections.namedtuple("Shared", "value")(spelling)
+    table = lambda rows, **more: M.pa.Table.from_pylist(rows, **more)
+    r = M._answer([one, one], [(mass, customers, 0.4)] * 2, d, 1.0)(table([ask]), table([known, pairs], schema=M._STATE)).to_pylist()[0]
+    p = 10.0 ** M.unplaned(r["p"], "<f4").reshape(2, 4).astype(float)
+    share, total = M.unplaned(r["share"], "<f4").reshape(2, 4), M.unplaned(r["total"], "<i8")
+    own = np.maximum(0, M.unplaned(r["pairs"], "<i8") - d * M.unplaned(r["tables"], "<i8") / 2) / (1.0 + total[1])
+    assert np.allclose(p.sum(1), 1, atol=1e-5) and math.isclose(own.sum() + share[:, 1].mean(), 1, abs_tol=1e-5)
+    assert (own > 0).sum() == 2 and share[0, 1] != share[1, 1] and (share[:, [0, 2, 3]] == 1).all()
+    assert (M.unplaned(r["new"], "<f4") < np.log10(p[:, 3])).all()
