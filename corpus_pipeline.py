@@ -34,11 +34,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join the document of least id stays, once; texts without words are no duplicates."""
-    found = jaccard_join.similar_documents(docs.select("doc_id", "text"), percent=75, size=5)
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
-    kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    """Of each component of the Jaccard join one row stays, by least id (null last), then text hash; texts without words are no duplicates.
+
+    Rows are known by a hash of id and text, so ids may be null or repeated; rows equal in both are one.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    found = jaccard_join.similar_documents(keyed.select("_key", "text"), percent=75, size=5, id_col="_key")
+    ranked = keyed.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_key").alias("_rank")).distinct()
+    winners = found.select("_key", "component_id").distinct().join(ranked, "_key").groupBy("component_id").agg(F.min_by("_key", "_rank").alias("_key"))
+    return keyed.join(winners.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

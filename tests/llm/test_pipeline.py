@@ -35,6 +35,15 @@ def test_stages(spark, tmp_path):
     assert sorted((str(r.doc_id), r.ids) for r in encoded) == sorted((str(r.doc_id), library.encode_ordinary(r.text)) for r in after[3])
 
 
+def test_near_copies_without_ids_or_under_one_id_stay_once(spark):
+    words = [f"word{i}" for i in range(60)]
+    text = lambda k, end: " ".join(f"{w}{k}" for w in words) + end
+    rows = [(None, text(1, "")), (None, text(1, " more")), (None, text(2, "")), (5, text(2, " more")), (7, text(3, "")), (7, text(3, " more")), (7, text(4, "")), (9, text(4, "")), (None, text(5, "")), (None, ""), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in C.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 8 and set(kept) - {(None, text(1, "")), (None, text(1, " more")), (7, text(3, "")), (7, text(3, " more"))} == {(5, text(2, " more")), (7, text(4, "")), (None, text(5, "")), (None, ""), (8, None), (8, "")}
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
