@@ -61,7 +61,7 @@ def normal(text: str) -> str:
 class Matcher:
     """Finds items within their error budget in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float):
         self.items, by_piece = [], {}
         for k, (item_id, text) in enumerate(items):
             text, masks = normal(text), {}
@@ -94,14 +94,14 @@ class Matcher:
                     own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
                 else:
                     own.append([lo, hi])
-        best: dict[int, tuple[int, int]] = {}
+        best: dict[int | None, tuple[int, int]] = {}
         for k, spans in windows.items():
             item_id, item, errors, masks = self.items[k]
             for lo, hi in spans:
                 d, end = min((d, lo + i + 1) for i, d in enumerate(myers(masks, len(item), text[lo:hi])))
                 if d <= errors and (d, end) < best.get(item_id, (d, end + 1)):
                     best[item_id] = d, end
-        return [{"item_id": i, "errors": d, "end": e} for i, (d, e) in sorted(best.items())]
+        return [{"item_id": i, "errors": d, "end": e} for i, (d, e) in sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
 
 
 def _finder(shared, error_rate: float, keep_text: bool):
@@ -118,7 +118,7 @@ def _finder(shared, error_rate: float, keep_text: bool):
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, streamed to the driver a partition at a time."""
     block, size = [], 0
-    clean = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(f"`{id_col}` is not null and `{text_col}` <> ''").distinct().repartition(32)
+    clean = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(f"`{text_col}` <> ''").distinct().repartition(32)
     for item_id, text in clean.toLocalIterator():
         block.append((item_id, text))
         size += len(text)
@@ -133,8 +133,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08,
     """Adds leaks to each row: array<struct<item_id, errors, end>>, the items of which the text has a substring within floor(error_rate * length) edits.
 
     Case and the kind of white space don't matter (normal). errors is the fewest edits, end where the first such
-    substring ends, in code points; items are sorted by id. Null and empty texts hold nothing; items without id or text
-    are in no text; rows that repeat an item count once, and of different texts under one id the nearest counts.
+    substring ends, in code points; items are sorted by id. Null and empty texts hold nothing; items without text are in
+    no text; those without id are reported under a null item_id, which is an id like others and the first; rows that repeat an item count once, and of different texts under one id the nearest counts.
     Repeated documents are searched alike; empty tables give no leaks. Other columns stay (one named leaks is replaced),
     the text only with keep_text.
 
@@ -151,7 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08,
         slim = out.select(F.struct("row", "leaks").alias("row"), "text")
         found = slim.mapInArrow(_finder(shared, error_rate, True), f"row {slim.schema['row'].dataType.simpleString()}, text string, leaks {HIT}")
         out = found.select("row.row", "text", F.concat("row.leaks", "leaks").alias("leaks"))
-    nearest = F.filter("leaks", lambda x: ~F.exists("leaks", lambda y: (y["item_id"] == x["item_id"]) & ((y["errors"] < x["errors"]) | ((y["errors"] == x["errors"]) & (y["end"] < x["end"])))))
+    nearest = F.filter("leaks", lambda x: ~F.exists("leaks", lambda y: y["item_id"].eqNullSafe(x["item_id"]) & ((y["errors"] < x["errors"]) | ((y["errors"] == x["errors"]) & (y["end"] < x["end"])))))
     done = out.withColumn("leaks", F.array_sort(F.array_distinct(nearest)))
     columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "leaks" and (keep_text or c != text_col)]
     return done.select(*columns, "leaks")

@@ -65,3 +65,11 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "abc")], "doc_id long, text string"), spark.createDataFrame([(1, "abc")], "item_id long, text string")
     assert D.find_leaks(docs, items.limit(0)).first().leaks == [] and D.find_leaks(docs.limit(0), items).collect() == []
     assert D.find_leaks(docs, items, keep_text=False).columns == ["doc_id", "leaks"]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 10])
+def test_items_without_id_are_found(spark, block):
+    items = spark.createDataFrame([(None, "how many angels dance here"), (4, "upon the head of a pin"), (None, "how many angels dance there")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x how many angels dance there upon the head of a pin"), (2, "how many devils")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.leaks] for r in D.find_leaks(docs, items, 0.08, block_chars=block).collect()}
+    assert got == {1: [(None, 0, 29), (4, 0, 52)], 2: []}
