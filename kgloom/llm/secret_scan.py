@@ -40,17 +40,18 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _RANKS = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
-#: p values are counted in so many bins for the control of false discoveries.
-BINS = 200
+#: p values are counted in so many bins for the control of false discoveries; strata of fewer tokens are pooled.
+BINS, SPARSE = 200, 100
 
 
 def infer_encoding(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; those with letters and digits must show both, or they are words or numbers."""
+    """The narrowest alphabet that holds the token; it must show letters and digits, or letters of both cases, or it is words or a number."""
     body = token.rstrip("=")
     chars = frozenset(body)
     for name, alphabet in _SETS.items():
         if chars <= alphabet:
-            if name != "decimal" and (not chars & _SETS["decimal"] or not chars - _SETS["decimal"]):
+            both_cases = body != body.lower() and body != body.upper()
+            if name != "decimal" and not both_cases and (not chars & _SETS["decimal"] or not chars - _SETS["decimal"]):
                 return None
             return name
     return None
@@ -144,20 +145,33 @@ def thresholds(counts: dict[tuple[str, int], np.ndarray], q: float) -> dict[tupl
 
     p is uniform for random tokens and near 0 for others, so the upper half of a stratum tells how many random tokens it
     has: twice its count. Of the tokens from bin t on, (1 - t / BINS) of those are expected to be random; the rest are
-    false discoveries. In a stratum where no bin reaches q nothing is reported.
+    false discoveries. A stratum of fewer than SPARSE tokens is pooled with the nearest
+    length classes of its encoding, then with other encodings, until there are as many; where no bin of the pool reaches
+    q, it stands alone. Where none of its own does either nothing is reported.
     """
     out = {}
-    for stratum, hist in counts.items():
-        random = 2.0 * hist[BINS // 2 :].sum()
-        from_top = np.cumsum(hist[::-1])[::-1]
-        expected = random * (1 - np.arange(BINS) / BINS)
-        false = np.where(from_top > 0, 1 - np.minimum(expected, from_top) / np.maximum(from_top, 1), 1.0)
-        good = np.flatnonzero(false <= q)
-        if len(good) and random:
-            out[stratum] = int(good[0])
+    for (encoding, size), hist in counts.items():
+        pool = np.zeros(BINS)
+        for e, n in sorted(counts, key=lambda x: (x[0] != encoding, abs(x[1] - size), x)):
+            if pool.sum() >= SPARSE:
+                break
+            pool = pool + counts[e, n]
+        for h in (pool, hist):
+            if (t := _threshold(h, q)) is not None:
+                out[encoding, size] = t
+                break
     return out
 
 
+def _threshold(hist: np.ndarray, q: float) -> int | None:
+    random = 2.0 * hist[BINS // 2 :].sum()
+    from_top = np.cumsum(hist[::-1])[::-1]
+    expected = random * (1 - np.arange(BINS) / BINS)
+    false = np.where(from_top > 0, 1 - np.minimum(expected, from_top) / np.maximum(from_top, 1), 1.0)
+    good = np.flatnonzero(false <= q)
+    return int(good[0]) if len(good) and random else None
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
@@ -171,8 +185,8 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", tex
     Kinds assign, access and hex are fixed forms (base_spans). Kind random are tokens of 20 or more characters whose
     inferred encoding they fill like random draws: chi-squared uniformity of the alphabet, a runs test and a serial
     correlation test, combined by Bonferroni, and cut where the share of false discoveries in the whole corpus is
-    expected to stay within fdr, by encoding and length class (thresholds). Tokens without both letters and digits
-    (unless all digits) are not tested.
+    expected to stay within fdr, by encoding and length class (thresholds). Tokens without both letters and digits,
+    or letters of both cases (unless all digits), are not tested.
 
     Null and empty texts have no spans; repeated rows are scanned alike; an empty table gives an empty result. Other
     columns stay (one named secrets is replaced). Texts are read once; what is stored between the two passes is the ids

@@ -77,3 +77,14 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
         assert set(want) <= set(r.spans.split(",")) if want else True
+
+
+def test_tokens_without_digits_and_of_rare_lengths():
+    assert S.infer_encoding("kQzRtWvXbNmLpYsDfGhJ") == "base62" and S.infer_encoding("kQzRtWvX/NmLpYsDfGh+") == "base64"
+    assert S.infer_encoding("some-long-kebab-case-words") is None and S.infer_encoding("ONLYCAPITALSINTHISWORD") is None
+    rng = np.random.default_rng(9)
+    common = np.bincount(rng.integers(S.BINS, size=2_000), minlength=S.BINS).astype(float)
+    alone = np.zeros(S.BINS)
+    alone[S.BINS // 4] = 1
+    cut = S.thresholds({("base62", 1): common, ("base62", 6): alone, ("base32", 0): alone}, 0.05)
+    assert all(cut[k] <= S.BINS // 4 for k in (("base62", 1), ("base62", 6), ("base32", 0)))
