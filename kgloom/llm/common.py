@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library keeps its own ways
+    _libc = None
+
 _own: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -22,8 +30,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names; one of our own only where none is set and all run on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder and not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='kgloom-')}")
     return (folder or _own[0]).rstrip("/")
@@ -40,6 +50,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back, since the worker lives on for the tasks of later steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -58,3 +58,28 @@ def test_operator(spark, chars):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+@given(st.lists(st.text(alphabet="abcdeéAB \n1'", max_size=40), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_blocks_of_texts_are_the_librarys(texts):
+    ids, first = bpe.encode_texts(SMALL, texts)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+#: Its cache is full from the start, so it begins anew at each block.
+SMALL = bpe.Vocabulary(RANKS, room=10)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "mix", lambda x: x & bpe.np.uint64(3))
+    v, texts = bpe.Vocabulary(RANKS), ["some unusualish wordses", "zqxv zqxw some zqxv", "unusualish zqxw"]
+    for _ in range(2):
+        ids, first = bpe.encode_texts(v, texts)
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_classes_are_the_patterns():
+    points = [*range(0, 0xD800, 7), *range(0xE000, 0x110000, 97)]
+    named = [bpe.BLANK if regex.match(r"\s", c) else bpe.LETTER if regex.match(r"\p{L}", c) else bpe.NUMBER if regex.match(r"\p{N}", c) else bpe.OTHER for c in map(chr, points)]
+    assert bpe.classes()[points].tolist() == named
