@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import discard, stored
-from kgloom.llm.jaccard_join import _LOWER, mix, word_hashes
+from kgloom.llm.hashing import lower, mix, word_hashes
 from kgloom.llm.pitman_yor import discount_of, sample_spelling, seat, word_codes
 
 #: The token that ends a text, and that its first word follows: no word holds a blank. Its hash is as arbitrary as a word's.
@@ -50,11 +50,10 @@ def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarra
     joined = b" ".join(texts)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.cumsum(lens + 1) - lens - 1
-    data = _LOWER[np.frombuffer(joined, np.uint8)]
-    hashes, start = word_hashes(data)
+    low = lower(joined)
+    hashes, start, end = word_hashes(low)
     known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    lower = data.tobytes()
-    words = [lower[a : a + 256].split(None, 1)[0] if (w := lower[a : a + 256]) and len(w.split(None, 1)[0]) < 256 else lower[a:].split(None, 1)[0] for a in start[first].tolist()]
+    words = [low[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
     cuts = np.searchsorted(start, np.append(at, len(joined) + 1))
     return words, known, [place[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -68,7 +67,7 @@ def _hashed(blob: bytes) -> np.ndarray:
     """Hashes of words joined by line feeds, the end token among them."""
     words = blob.split(b"\n")
     out = np.full(len(words), STOP_HASH)
-    out[[w != STOP for w in words]] = word_hashes(np.frombuffer(blob, np.uint8))[0] if words != [STOP] else []
+    out[[w != STOP for w in words]] = word_hashes(blob)[0] if words != [STOP] else []
     return out
 
 

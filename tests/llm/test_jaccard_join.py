@@ -114,3 +114,24 @@ def test_prefix_of_prefix_chain(spark):
     """Texts that grow word by word link in a chain to one component."""
     rows = [(k, " ".join(f"t{i}" for i in range(12 + k))) for k in range(40)]
     assert got(J.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit=8)) == brute(rows)
+
+
+def test_regions_are_cut_again(spark, monkeypatch):
+    """Several levels of cells, with lent sets, before tiles: links as by comparing all pairs, each counted once."""
+    rng = random.Random(9)
+    levels, cut = [], J._cut
+    monkeypatch.setattr(J, "_cut", lambda *a: levels.append(a[2]) or cut(*a))
+    groups = [range(k * 1000, k * 1000 + 100) for k in range(12)]
+    sets = [sorted({*rng.sample(g, 97), *rng.sample(range(k * 1000, k * 1000 + 400), 2)}) for k, g in enumerate(groups * 12)]
+    sets = [list(x) for x in dict.fromkeys(map(tuple, sets))]
+    rows = [(b"all", b"%04d" % i, len(x), 1 + i % 3, x) for i, x in enumerate(sets)]
+    regions = spark.createDataFrame(rows, "region binary, sid binary, n int, copies long, ids array<long>")
+    want = collections.Counter()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i != j and 100 * len({*x} & {*y}) >= 92 * len({*x} | {*y}):
+                want[b"%04d" % i] += 1 + j % 3
+    found = collections.Counter()
+    for r in J.join_regions(regions, 92, limit=10, pivots=4).collect():
+        found[bytes(r.sid)] += r.links
+    assert found == want and len(want) > 30 and max(levels) >= 1
