@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import release
+
 HIT = "array<struct<item_id:long,errors:int,end:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("errors", pa.int32()), ("end", pa.int32())]))
 
@@ -111,6 +113,7 @@ def _finder(shared, error_rate: float, keep_text: bool):
             rows, texts = batch.columns
             found = pa.array([matcher.find(t.as_py() or "") for t in texts], _HIT)
             yield pa.RecordBatch.from_arrays([rows, *([texts] if keep_text else []), found], names=["row", *(["text"] if keep_text else []), "leaks"])
+        release()
 
     return find
 

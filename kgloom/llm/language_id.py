@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kgloom.llm.common import fresh
+from kgloom.llm.common import fresh, release
 
 A_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: A dirty column may name any number of languages; this many, the most frequent, are learnt.
+MAX_LANGUAGES = 200
 
 
 def windows(data: bytes, length: int) -> np.ndarray:
@@ -175,17 +177,17 @@ def train(samples: list[tuple[str, str]], hidden: int = 12, length: int = 64, st
     return net
 
 
-def labelled_sample(docs: DataFrame, per_language: int, chars: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most per_language texts of each language, chosen by hash, cut to chars at a place chosen by hash.
+def labelled_sample(docs: DataFrame, per_language: int, chars: int, languages: int = MAX_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """At most per_language texts of each of the most frequent languages, chosen by hash, cut to chars at a place chosen by hash.
 
     The languages are counted first, so that only about the rows needed are ranked.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.length(text_col)), 11).alias("h"))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(float(1 << 53) * min(1.0, (3 * per_language + 30) / n)))])
-    few = usable.where(F.col("h") < share[F.col("lang")])
+    few = usable.where(F.col("h") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     start = F.lit(1) + (F.col("h") % F.greatest(F.lit(1), F.length("text") - chars)).cast("int")
     ranked = few.select("lang", "h", F.col("text").substr(start, F.lit(chars)).alias("text")).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
     return [(r[0], r[1]) for r in ranked.where(f"n <= {per_language}").select("lang", "text").orderBy("lang", "n").collect()]
@@ -217,12 +219,13 @@ def _labeller(shared, chars: int):
                         size = 0
             settle()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        release()
 
     return label
 
 
 def fit(labelled: DataFrame, per_language: int = 250, chars: int = 400, **options) -> Network | None:
-    """A network from at most per_language excerpts of chars characters of each language; None without labelled rows."""
+    """A network from at most per_language excerpts of chars characters of each of the MAX_LANGUAGES most frequent languages; None without labelled rows."""
     samples = labelled_sample(labelled, per_language, chars)
     return train(samples, **options) if samples else None
 
