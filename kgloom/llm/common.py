@@ -50,6 +50,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, column: str, values: tuple, label: str) -> dict:
+    """As stored, with a table for each value of an int column, which they lack; each can be discarded alone."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    schema, out = df.drop(column).schema, {}
+    for v in values:
+        at = f"{path}/{column}={v}"
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+        _written.append((spark, at))
+        out[v] = spark.read.schema(schema).parquet(at)
+        out[v]._stored_at = at
+    _written.append((spark, path))
+    return out
+
+
 def release() -> None:
     """Gives a Python worker's freed memory back, since the worker lives on for the tasks of later steps."""
     gc.collect()

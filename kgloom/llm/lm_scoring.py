@@ -6,77 +6,102 @@ import gc
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import discard, stored
-from kgloom.llm.hashing import lower, mix, word_hashes
+from kgloom.llm.common import discard, release, stored, stored_by
+from kgloom.llm.hashing import lower, word_hashes
 from kgloom.llm.pitman_yor import discount_of, sample_spelling, seat, word_codes
 
 #: The token that ends a text, and that its first word follows: no word holds a blank. Its hash is as arbitrary as a word's.
 STOP, STOP_HASH = b" ", np.uint64(0x5BD1E995C2B2AE35)
 
-#: Rows of a block: a document (places of its words), or the words that it asks of a shard (with places and training counts) and the pairs whose first word they are.
+
+def _table(**columns: str) -> tuple[str, pa.Schema]:
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    return ", ".join(f"{k} {v}" for k, v in columns.items()), pa.schema([(k, types[v]) for k, v in columns.items()])
+
+
+#: A block of texts numbers its distinct words by hash; a shard owns a range of hashes and numbers its learnt words likewise, from 0.
+#: DOC: a text as numbers of the block. ASK: words of the block that a shard owns, with their counts in learnt texts.
 DOC, ASK = 0, 1
-ROWS = "kind int, block long, shard int, id long, held_out boolean, places binary, words binary, counts binary, runs binary, follow binary, pairs binary"
-_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), *[(k, pa.binary()) for k in ("places", "words", "counts", "runs", "follow", "pairs")]])
-#: Rows of a shard. WORD: its words, joined by line feeds, which no word holds, with occurrences, customers, tables. PAIR:
-#: the contexts (words of the shard, by hash), how many words follow each, the words met there (by hash), and which of
-#: them follow, with customers and tables.
-#: REPLY: to a shard of pairs, customers less discounts and spelling probabilities of words that it called for.
-WORD, PAIR, REPLY = 0, 1, 2
-_BLOBS, _SUMS = ("words", "contexts", "runs", "met", "follow", "n", "c", "t", "samples"), ("total", "kinds", "once", "twice", "customers", "tables")
-STATE = ", ".join(["kind int, shard int, source int", *[f"{k} binary" for k in _BLOBS], *[f"{k} long" for k in _SUMS], "spelt double"])
-_STATE = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("source", pa.int32()), *[(k, pa.binary()) for k in _BLOBS], *[(k, pa.int64()) for k in _SUMS], ("spelt", pa.float64())])
-CALLS = "shard int, source int, follow binary, t binary"
-_CALLS = pa.schema([("shard", pa.int32()), ("source", pa.int32()), ("follow", pa.binary()), ("t", pa.binary())])
+ROWS, _ROWS = _table(kind="int", block="long", shard="int", id="long", held_out="boolean", places="binary", words="binary", counts="binary")
+#: WORD: a shard's learnt words, with counts, customers and tables. RANK: for a block's ask the words' numbers, 1 more, or 0 where not learnt, and the spellings of these.
+WORD, RANK = 0, 1
+#: REPLY: to a shard of pairs, probabilities of words that it called for.
+REPLY = 2
+_BLOBS, _SUMS = ("words", "ranks", "n", "c", "t", "samples"), ("total", "kinds", "once", "twice", "customers", "tables")
+WORDS, _WORDS = _table(kind="int", shard="int", block="long", **dict.fromkeys(_BLOBS, "binary"), **dict.fromkeys(_SUMS, "long"), spelt="double")
+#: What a block asks about pairs whose first word a shard owns: which of its words are learnt, the others' spellings, the learnt ones' numbers, how many words follow each, these (shard << 32 | number) and their counts in learnt texts.
+ASKED, _ASKED = _table(block="long", shard="int", learnt="binary", words="binary", ranks="binary", runs="binary", follow="binary", counts="binary")
+#: PAIR: for each learnt word of a shard, how many words follow it, which of met these are, and their customers and tables. PLACE: for each block the places of its pairs among them.
+PAIR, PLACE = 0, 1
+PAIRS, _PAIRS = _table(kind="int", shard="int", block="long", learnt="binary", words="binary", ranks="binary", runs="binary", places="binary", met="binary", follow="binary", c="binary", t="binary", samples="binary", seats="binary", **dict.fromkeys(_SUMS, "long"))
+CALLS, _CALLS = _table(shard="int", source="int", ranks="binary", t="binary")
+ANSWERS, _ANSWERS = _table(block="long", shard="int", learnt="binary", n="binary", p="binary", new="binary", whole="binary", seats="binary", c="binary", t="binary")
+SCORES, _SCORES = _table(id="long", held_out="boolean", n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double", open_score="double")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, as many as the greatest needs, which the first byte tells."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    out = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Rising numbers, as their differences."""
+    return planes(np.diff(x, prepend=0))
 
 
-def planes(x: np.ndarray, kind: str = "<u4") -> bytes:
-    """Byte planes: the high ones hardly take space once compressed."""
-    x = np.ascontiguousarray(x.astype(kind))
-    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+def unstepped(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(blob))
 
 
-def unplaned(blob: bytes, kind: str = "<u4") -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, len(blob) // size).T).view(kind).ravel()
+def floats(x: np.ndarray) -> bytes:
+    """Byte planes of 4-byte floats."""
+    return np.ascontiguousarray(x, "<f4").ravel().view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unfloated(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<f4").ravel()
+
+
+def parts(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal numbers."""
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else [0]
+    return [(int(x[a]), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
 def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """The block's distinct words, their hashes, and the places of each text's words among them."""
-    joined = b" ".join(texts)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.cumsum(lens + 1) - lens - 1
-    low = lower(joined)
-    hashes, start, end = word_hashes(low)
-    known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    words = [low[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-    cuts = np.searchsorted(start, np.append(at, len(joined) + 1))
-    return words, known, [place[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def _pairs(places: list[np.ndarray], stop: int) -> list[np.ndarray]:
-    """For each text its pairs of neighbours, first * (stop + 1) + second; the end stands before the first word, too."""
-    return [np.append(stop, p) * (stop + 1) + np.append(p, stop) for p in (q.astype(np.int64) for q in places)]
-
-
-def _hashed(blob: bytes) -> np.ndarray:
-    """Hashes of words joined by line feeds, the end token among them."""
-    words = blob.split(b"\n")
-    out = np.full(len(words), STOP_HASH)
-    out[[w != STOP for w in words]] = word_hashes(blob)[0] if words != [STOP] else []
-    return out
+    """The block's distinct words and the end, by hash, their hashes, and each text's words as numbers, the end the last."""
+    joined = lower(b" ".join(texts))
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    hashes, start, end = word_hashes(joined)
+    known, first, place = np.unique(np.append(hashes, STOP_HASH), return_index=True, return_inverse=True)
+    words = [joined[start[i] : end[i]] if i < len(start) else STOP for i in first.tolist()]
+    cuts = np.searchsorted(start, at)
+    return words, known, [np.append(place[a:b], place[-1]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _keys(contexts: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    return mix(contexts * np.uint64(0x9E3779B97F4A7C15) + follow)
+def _neighbours(places: list[np.ndarray], size: int) -> np.ndarray:
+    """All texts' pairs of neighbours, first * size + second; a text's first word follows an end."""
+    line = np.concatenate(places).astype(np.int64)
+    first = np.empty_like(line)
+    first[0], first[1:] = line[-1], line[:-1]
+    return first * size + line
 
 
 def _blocks(chars: int, shards: int):
-    """mapInArrow function: a block's documents as places in its list of words, and the list, by shard, with its training counts."""
+    """mapInArrow function: a block's documents as numbers of its words, and these, by shard, with their counts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,70 +118,105 @@ def _blocks(chars: int, shards: int):
                 block += 1
                 words, hashes, places = _tokens(part)
                 held = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                learnt = [p for p, h in zip(places, held) if not h]
-                counts = np.append(np.bincount(np.concatenate(learnt), minlength=len(words)) if learnt else np.zeros(len(words), np.int64), len(learnt))
-                words.append(STOP)
-                hashes = np.append(hashes, STOP_HASH)
-                both = _pairs(places, len(words) - 1)
-                met, place = np.unique(np.concatenate(both), return_inverse=True)
-                first, second = met // len(words), met % len(words)
-                twos = np.bincount(place, np.repeat(~held, [len(x) for x in both]), len(met)).astype(np.int64)
-                n, none = hi - lo, lambda kind: pa.nulls(hi - lo, kind)  # noqa: B023
-                blobs = [pa.array([planes(p) for p in places], pa.binary()), *[none(pa.binary())] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([DOC] * n, pa.int32()), pa.array([block] * n, pa.int64()), none(pa.int32()), batch.column(0).slice(lo, n), pa.array(held), *blobs], schema=_ROWS)
-                shard = (hashes % np.uint64(shards)).astype(np.int64)
-                order, of_pair = np.argsort(shard, kind="stable"), np.argsort(shard[first], kind="stable")
-                cuts, ends = np.searchsorted(shard[order], np.arange(shards + 1)), np.searchsorted(shard[first][of_pair], np.arange(shards + 1))
-                runs = np.bincount(first, minlength=len(words))
-                rows = []
-                for k in range(shards):
-                    at, on = order[cuts[k] : cuts[k + 1]], of_pair[ends[k] : ends[k + 1]]
-                    if len(at):
-                        rows.append({"kind": ASK, "block": block, "shard": k, "places": planes(at), "words": b"\n".join([words[i] for i in at]), "counts": planes(counts[at]), "runs": planes(runs[at]), "follow": planes(hashes[second[on]], "<u8"), "pairs": planes(twos[on])})
+                counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *(p for p, h in zip(places, held) if not h)]), minlength=len(words))
+                ids = batch.column(0)
+                rows = [{"kind": DOC, "block": block, "id": ids[lo + k].as_py(), "held_out": bool(h), "places": planes(p)} for k, (p, h) in enumerate(zip(places, held))]
+                shard = ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                rows += [{"kind": ASK, "block": block, "shard": k, "words": b"\n".join(words[a:b]), "counts": planes(counts[a:b])} for k, a, b in parts(shard)]
                 yield pa.RecordBatch.from_pylist(rows, _ROWS)
                 lo = hi
+        release()
 
     return emit
 
 
-def _row(kind: int, shard: int, c: np.ndarray, t: np.ndarray, samples: bytes, n: np.ndarray | None = None, **others) -> dict:
-    return {
-        "kind": kind, "shard": shard, "c": planes(c, "<i8"), "t": planes(t, "<i8"), "samples": samples, **others, "n": None if n is None else planes(n, "<i8"), "total": int(c.sum() if n is None else n.sum()), "kinds": len(c),
-        "once": int((c == 1).sum()), "twice": int((c == 2).sum()), "customers": int(c.sum()), "tables": int(t.sum()),
-    }
+def _row(kind: int, shard: int, c: np.ndarray, t: np.ndarray, samples: bytes, total: int, **others) -> dict:
+    """A shard's state, with the sums that the next sweep needs; a dish without customers isn't one."""
+    return {"kind": kind, "shard": shard, "c": planes(c), "t": planes(t), "samples": samples, **others, "total": total, "kinds": int((c > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum()), "customers": int(c.sum()), "tables": int(t.sum())}
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    out = np.full(len(words), STOP_HASH)
+    plain = np.array([w != STOP for w in words], bool)
+    if plain.any():
+        out[plain] = word_hashes(b"\n".join(w for w in words if w != STOP))[0]
+    return out
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """The learnt words of a shard and the pairs that start with them, from what all blocks asked of it."""
+    """The learnt words of a shard, and for each block their numbers."""
+    asks = [(r["block"], r["words"].split(b"\n"), unplaned(r["counts"])) for r in table.select(["block", "words", "counts"]).to_pylist()]
     shard = table.column("shard")[0].as_py()
-    names, hashes, counts, contexts, follow, twos = [], [], [], [], [], []
-    for r in table.to_pylist():
-        own, n, m = _hashed(r["words"]), unplaned(r["counts"]), unplaned(r["pairs"])
-        learnt = n > 0
-        names += [w for w, yes in zip(r["words"].split(b"\n"), learnt) if yes]
-        hashes.append(own[learnt])
-        counts.append(n[learnt])
-        contexts.append(np.repeat(own, unplaned(r["runs"]))[m > 0])
-        follow.append(unplaned(r["follow"], "<u8")[m > 0])
-        twos.append(m[m > 0])
-    hashes, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    if not len(hashes):
-        return pa.Table.from_pylist([], _STATE)
-    n = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-    contexts, follow = np.concatenate(contexts), np.concatenate(follow)
-    order = np.lexsort((follow, contexts))
-    contexts, follow, twos = contexts[order], follow[order], np.concatenate(twos).astype(np.int64)[order]
-    new = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (follow[1:] != follow[:-1]))[: len(contexts)])
-    c = np.add.reduceat(twos, new) if len(new) else np.zeros(0, np.int64)
-    rows = [_row(WORD, shard, np.ones(len(n), np.int64), np.ones(len(n), np.int64), b"", n, words=b"\n".join([names[i] for i in first]))]
-    known, runs = np.unique(contexts[new], return_counts=True)
-    met, which = np.unique(follow[new], return_inverse=True)
-    rows.append(_row(PAIR, shard, c, np.ones(len(c), np.int64), b"", contexts=planes(known, "<u8"), runs=planes(runs), met=planes(met, "<u8"), follow=planes(which)))
-    return pa.Table.from_pylist(rows, _STATE)
-
-
-def _spelled(words: list[bytes]) -> list[bytes]:
-    return [b"" if w == STOP else w for w in words]
+    names = [w for _, words, _ in asks for w in words]
+    hashes = np.concatenate([_hashed(words) for _, words, _ in asks])
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    n = np.bincount(place, np.concatenate([c for *_, c in asks])).astype(np.int64)
+    learnt = n > 0
+    number = np.where(learnt, np.cumsum(learnt), 0)[place]
+    one = np.ones(int(learnt.sum()), np.int64)
+    rows = [_row(WORD, shard, one, one, b"", int(n.sum()), words=b"\n".join([names[i] for i in first[learnt]]), n=planes(n[learnt]))] if learnt.any() else []
+    at = 0
+    for block, words, _ in asks:
+        own = number[at : at + len(words)]
+        rows.append({"kind": RANK, "shard": shard, "block": block, "ranks": planes(own), "words": b"\n".join([w for w, k in zip(words, own) if not k])})
+        at += len(words)
+    return pa.Table.from_pylist(rows, _WORDS)
+
+
+def _by_shard(table: pa.Table) -> list[dict]:
+    return sorted(table.to_pylist(), key=lambda r: r["shard"])
+
+
+def _learnt_pairs(texts: list[np.ndarray], learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(every token's pair, the distinct pairs of learnt words, each token's place among them, or their number)."""
+    every = _neighbours(texts, len(learnt))
+    pairs, place = np.unique(every, return_inverse=True)
+    known = learnt[pairs // len(learnt)] & learnt[pairs % len(learnt)]
+    return every, pairs[known], np.where(known, np.cumsum(known) - 1, int(known.sum()))[place]
+
+
+def _ask_pairs(docs: pa.Table, ranks: pa.Table) -> pa.Table:
+    """Cogrouped function: a block's documents, and its words' numbers; its pairs of learnt words, by the first one's shard."""
+    own, docs = _by_shard(ranks), docs.select(["held_out", "places"]).to_pylist()
+    numbers = [unplaned(r["ranks"]) for r in own]
+    shard, number = np.repeat([r["shard"] for r in own], list(map(len, numbers))), np.concatenate(numbers)
+    texts = [unplaned(d["places"]) for d in docs]
+    _, pairs, place = _learnt_pairs(texts, number > 0)
+    taught = np.repeat([not d["held_out"] for d in docs], list(map(len, texts)))
+    counts = np.bincount(place, taught, len(pairs) + 1).astype(np.int64)
+    first, second = pairs // len(number), pairs % len(number)
+    follow = shard[second] << 32 | number[second] - 1
+    runs = np.bincount(first, minlength=len(number))
+    cuts, at, rows = np.append(0, np.cumsum(runs)), 0, []
+    for r, numbered in zip(own, numbers):
+        end, learnt = at + len(numbered), numbered > 0
+        lo, hi = cuts[at], cuts[end]
+        rows.append({"block": r["block"], "shard": r["shard"], "learnt": planes(learnt), "words": r["words"], "ranks": steps(numbered[learnt] - 1), "runs": planes(runs[at:end][learnt]), "follow": planes(follow[lo:hi]), "counts": planes(counts[lo:hi])})
+        at = end
+    return pa.Table.from_pylist(rows, _ASKED)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The pairs whose first word a shard owns, and for each block the places of its own."""
+    asks = table.to_pylist()
+    shard = asks[0]["shard"]
+    ranks, runs, follow = ([f(r[k]) for r in asks] for f, k in ((unstepped, "ranks"), (unplaned, "runs"), (unplaned, "follow")))
+    met, which = np.unique(np.concatenate(follow), return_inverse=True)
+    context = np.concatenate([np.repeat(a, n) for a, n in zip(ranks, runs)])
+    keys, place = np.unique(context * max(1, len(met)) + which, return_inverse=True)
+    c = np.bincount(place, np.concatenate([unplaned(r["counts"]) for r in asks]), len(keys)).astype(np.int64)
+    words = max((int(a[-1]) + 1 for a in ranks if len(a)), default=0)
+    own = np.bincount(keys // max(1, len(met)), minlength=words)
+    rows = [_row(PAIR, shard, c, (c > 0).astype(np.int64), planes(np.zeros(len(c))), int(c.sum()), runs=planes(own), met=steps(met), follow=planes(keys % max(1, len(met))), seats=planes(np.zeros(0)))]
+    at = 0
+    for r, f in zip(asks, follow):
+        rows.append({"kind": PLACE, "shard": shard, "block": r["block"], "learnt": r["learnt"], "words": r["words"], "ranks": r["ranks"], "places": steps(place[at : at + len(f)])})
+        at += len(f)
+    return pa.Table.from_pylist(rows, _PAIRS)
+
+
+def _spelled(words: bytes) -> list[bytes]:
+    return [b"" if w == STOP else w for w in words.split(b"\n")]
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,178 +224,138 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for words, t in zip(batch.column(0), batch.column(1)):
-            own, owner = word_codes(_spelled(words.as_py().split(b"\n")))
-            weight = unplaned(t.as_py(), "<i8")[owner]
+            own, owner = word_codes(_spelled(words.as_py()))
             codes, place = np.unique(np.concatenate([codes, own]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, weight])).astype(np.int64)
+            sums = np.bincount(place, np.concatenate([sums, unplaned(t.as_py())[owner]])).astype(np.int64)
     if len(codes):
         yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(sums, pa.int64())})
 
 
-def _calls(shards: int):
-    """mapInArrow function: tables that a shard of pairs has of each word, to the shards of the words."""
-
-    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                met = unplaned(r["met"], "<u8")
-                t = np.bincount(unplaned(r["follow"]), unplaned(r["t"], "<i8"), len(met))
-                to = (met % np.uint64(shards)).astype(int)
-                order = np.argsort(to, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    if len(at):
-                        rows.append({"shard": int(to[at[0]]), "source": r["shard"], "follow": planes(met[at], "<u8"), "t": planes(t[at], "<i8")})
-            yield pa.RecordBatch.from_pylist(rows, _CALLS)
+def _call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tables that a shard of pairs has of each word, to the shards of the words."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            met = unstepped(r["met"])
+            t = np.bincount(unplaned(r["follow"]), unplaned(r["t"]), len(met)).astype(np.int64)
+            rows += [{"shard": k, "source": r["shard"], "ranks": steps(met[a:b] & 0xFFFFFFFF), "t": planes(t[a:b])} for k, a, b in parts(met >> 32)]
+        yield pa.RecordBatch.from_pylist(rows, _CALLS)
+    release()
 
-    return call
 
+def _seat_words(shared, discount: float, concentration: float, tables: int, customers: int, counted: bool, seed: int):
+    """Cogrouped function: the tables that words have in all contexts are seated anew in the restaurant of words, and who called is told their probabilities.
 
-def _seat_words(shared, discount: float, concentration: float, tables: int, counted: bool, seed: int):
-    """Cogrouped function: the tables that words have in all contexts are seated anew in the restaurant of words, and who called is told of them."""
+    tables: of the whole restaurant, as the last sweep left it; shards sweep side by side, so each sees the others' as
+    they were then.
+    """
 
     def sweep(calls: pa.Table, words: pa.Table) -> pa.Table:
         rows, calls = [], calls.to_pylist()
         for r in words.to_pylist():
-            names, hashes, old = r["words"].split(b"\n"), _hashed(r["words"]), unplaned(r["t"], "<i8")
-            order = np.argsort(hashes)
-            places = [order[np.searchsorted(hashes, unplaned(x["follow"], "<u8"), sorter=order)] for x in calls]
-            c = np.zeros(len(names), np.int64)
-            for at, x in zip(places, calls):
-                c[at] += unplaned(x["t"], "<i8")
-            codes, owner = word_codes(_spelled(names))
-            spelt = 10.0 ** np.bincount(owner, shared.value.log10(codes), len(names))
-            t = seat(c, discount, (concentration + discount * np.maximum(0, tables - old)) * spelt, np.random.default_rng([seed, r["shard"]]))
-            a = c - discount * t
-            samples = r["samples"] + (planes(a, "<f8") + planes(spelt, "<f8") if counted else b"")
-            rows.append(_row(WORD, r["shard"], c, t, samples, unplaned(r["n"], "<i8"), words=r["words"], spelt=float(spelt.sum())))
-            rows += [{"kind": REPLY, "shard": x["source"], "source": r["shard"], "c": planes(a[at], "<f4"), "t": planes(spelt[at], "<f4")} for at, x in zip(places, calls)]
-        return pa.Table.from_pylist(rows, _STATE)
+            old = unplaned(r["t"])
+            at, c = [unstepped(x["ranks"]) for x in calls], np.zeros(len(old), np.int64)
+            for k, x in zip(at, calls):
+                c[k] += unplaned(x["t"])
+            codes, owner = word_codes(_spelled(r["words"]))
+            spelt = 10.0 ** np.bincount(owner, shared.value.log10(codes), len(c))
+            t = seat(c, discount, (concentration + discount * np.maximum(0, tables - old)) * spelt, np.random.default_rng([seed, r["shard"]]), discount * spelt)
+            rest = c - discount * t
+            samples = r["samples"] + (floats(rest) + floats(spelt) if counted else b"")
+            rows.append(_row(WORD, r["shard"], c, t, samples, r["total"], words=r["words"], n=r["n"], spelt=float(spelt.sum())))
+            p = (rest + (concentration + discount * tables) * spelt) / (concentration + customers)
+            rows += [{"kind": REPLY, "shard": x["source"], "block": r["shard"], "c": floats(p[k])} for k, x in zip(at, calls)]
+        return pa.Table.from_pylist(rows, _WORDS)
 
     return sweep
 
 
-def _seat_pairs(shards: int, discount: float, concentration: float, mass: float, customers: float, counted: bool, seed: int):
-    """Cogrouped function: in each context, its words' customers are seated anew below the restaurant of words; mass is what that gives to spelling."""
+def _seat_pairs(discount: float, concentration: float, counted: bool, seed: int):
+    """Cogrouped function: in each context its words' customers are seated anew below the restaurant of words."""
 
     def sweep(pairs: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, replies = [], sorted(replies.to_pylist(), key=lambda x: x["source"])
+        rows, told = [], sorted(replies.select(["block", "c"]).to_pylist(), key=lambda x: x["block"])
+        p = np.concatenate([np.zeros(0, np.float32), *(unfloated(x["c"]) for x in told)])
         for r in pairs.to_pylist():
-            met, place, runs, c, old = unplaned(r["met"], "<u8"), unplaned(r["follow"]), unplaned(r["runs"]), unplaned(r["c"], "<i8"), unplaned(r["t"], "<i8")
-            p = np.empty(len(met))
-            p[np.argsort(met % np.uint64(shards), kind="stable")] = np.concatenate([(unplaned(x["c"], "<f4") + mass * unplaned(x["t"], "<f4").astype(float)) / customers for x in replies])
-            context = np.repeat(np.arange(len(runs)), runs)
-            whole = np.bincount(context, old, len(runs))[context]
-            t = seat(c, discount, (concentration + discount * (whole - old)) * p[place], np.random.default_rng([seed, r["shard"], 1]))
-            rows.append(_row(PAIR, r["shard"], c, t, r["samples"] + (planes(old, "<u4") if counted else b""), contexts=r["contexts"], runs=r["runs"], met=r["met"], follow=r["follow"]))
-        return pa.Table.from_pylist(rows, _STATE)
+            place, runs, c, old = unplaned(r["follow"]), unplaned(r["runs"]), unplaned(r["c"]), unplaned(r["t"])
+            context, parent = np.repeat(np.arange(len(runs)), runs), p[place].astype(float)
+            whole = np.bincount(context, old, len(runs))
+            t = seat(c, discount, (concentration + discount * (whole[context] - old)) * parent, np.random.default_rng([seed, r["shard"], 1]), discount * parent)
+            samples, seats = (planes(unplaned(r["samples"]) + old), planes(np.append(unplaned(r["seats"]), whole))) if counted else (r["samples"], r["seats"])
+            rows.append(_row(PAIR, r["shard"], c, t, samples, r["total"], runs=r["runs"], met=r["met"], follow=r["follow"], seats=seats))
+        return pa.Table.from_pylist(rows, _PAIRS)
 
     return sweep
 
 
-ANSWERS = "block long, shard int, places binary, c binary, p binary, new binary, share binary, total binary, pairs binary, tables binary"
-_ANSWERS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), *[(k, pa.binary()) for k in ("places", "c", "p", "new", "share", "total", "pairs", "tables")]])
-
-
-def _answer(spellings: list, levels: list[tuple[float, float, float]], discount: float, concentration: float):
-    """Cogrouped function: to each block that asked a shard, its words' counts and probabilities, and what their contexts hold.
+def _answer(spellings: list, levels: list[tuple[float, float, float]]):
+    """Cogrouped function: to each block that asked a shard, what its words and their contexts and pairs are worth.
 
     levels: for each sample the mass that the restaurant of words gives to spelling, its customers with the
-    concentration, and the share of spellings that no learnt word has. Of a word each sample has log10 p, that of all
-    other words for one not learnt, and there (new) that of its own spelling; of a context what it leaves to the
-    restaurant of words, and its customers; of a pair the customers, and the tables of all samples.
+    concentration, and the share of spellings that no learnt word has. Of a learnt word each sample has log10 p, of
+    another that of its spelling (new); of a context the customers (whole) and each sample's tables (seats); of a pair
+    the customers and the tables of all samples.
     """
 
-    def answer(asks: pa.Table, state: pa.Table) -> pa.Table:
-        size = len(levels)
-        hashes, n, logs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((size, 0))
-        contexts, shares, keys = np.zeros(0, np.uint64), np.zeros((size, 0)), np.zeros(0, np.uint64)
-        whole = many = seats = np.zeros(0, np.int64)
-        for r in state.to_pylist():
-            if r["kind"] == WORD:
-                hashes, n = _hashed(r["words"]), unplaned(r["n"], "<i8")
-                blobs = [unplaned(r["samples"][i : i + 8 * len(n)], "<f8") for i in range(0, len(r["samples"]), 8 * len(n))]
-                logs = np.log10(np.stack([(a + mass * s) / customers for a, s, (mass, customers, _) in zip(blobs[::2], blobs[1::2], levels)]))
-                order = np.argsort(hashes)
-                hashes, n, logs = hashes[order], n[order], logs[:, order]
-            else:
-                contexts, runs, c = unplaned(r["contexts"], "<u8"), unplaned(r["runs"]), unplaned(r["c"], "<i8")
-                context = np.repeat(np.arange(len(runs)), runs)
-                whole = np.bincount(context, c, len(runs)).astype(np.int64)
-                t = np.stack([unplaned(r["samples"][i : i + 4 * len(c)]) for i in range(0, len(r["samples"]), 4 * len(c))]).astype(np.int64)
-                shares = np.stack([(concentration + discount * np.bincount(context, x, len(runs))) / (concentration + whole) for x in t])
-                keys = _keys(contexts[context], unplaned(r["met"], "<u8")[unplaned(r["follow"])])
-                order = np.argsort(keys)
-                keys, many, seats = keys[order], c[order], t.sum(0)[order]
+    def answer(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        size, n, logs = len(levels), np.zeros(0, np.int64), np.zeros((len(levels), 0))
+        whole, seats, c, t = np.zeros(0, np.int64), np.zeros((size, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for r in words.to_pylist():
+            n = unplaned(r["n"])
+            blobs = [unfloated(r["samples"][i : i + 4 * len(n)]).astype(float) for i in range(0, len(r["samples"]), 4 * len(n))]
+            logs = np.log10(np.stack([(rest + mass * s) / customers for rest, s, (mass, customers, _) in zip(blobs[::2], blobs[1::2], levels)]))
+        kinds = np.asarray(pairs.column("kind"))
+        for r in pairs.filter(pa.array(kinds == PAIR)).to_pylist():
+            runs, c, t = unplaned(r["runs"]), unplaned(r["c"]), unplaned(r["samples"])
+            whole = np.bincount(np.repeat(np.arange(len(runs)), runs), c, len(runs)).astype(np.int64)
+            seats = unplaned(r["seats"]).reshape(size, -1)
         rows = []
-        for r in asks.to_pylist():
-            words, asked, runs, follow = r["words"].split(b"\n"), _hashed(r["words"]), unplaned(r["runs"]), unplaned(r["follow"], "<u8")
-            at, known = _found(hashes, asked)
-            c, p, share = np.zeros(len(asked), np.int64), np.zeros((size, len(asked))), np.ones((size, len(asked)))
-            c[known], p[:, known] = n[at[known]], logs[:, at[known]]
-            new = np.flatnonzero(~known)
-            codes, owner = word_codes(_spelled([words[i] for i in new])) if len(new) else (None, None)
-            spelt = np.zeros((size, len(new)))
-            for i, (mass, customers, others) in enumerate(levels if len(new) else []):
-                p[i, new] = np.log10(mass / customers * others)
-                spelt[i] = np.log10(mass / customers) + np.bincount(owner, spellings[i].value.log10(codes), len(new))
-            at, met = _found(contexts, asked)
-            total = np.zeros(len(asked), np.int64)
-            share[:, met], total[met] = shares[:, at[met]], whole[at[met]]
-            at, met = _found(keys, _keys(np.repeat(asked, runs), follow))
-            mine = np.zeros((2, len(follow)), np.int64)
-            mine[:, met] = many[at[met]], seats[at[met]]
-            rows.append({"block": r["block"], "shard": r["asked"], "places": r["places"], "c": planes(c, "<i8"), "p": planes(p.ravel(), "<f4"), "new": planes(spelt.ravel(), "<f4"), "share": planes(share.ravel(), "<f4"), "total": planes(total, "<i8"), "pairs": planes(mine[0], "<i8"), "tables": planes(mine[1], "<i8")})
+        for x in pairs.filter(pa.array(kinds == PLACE)).to_pylist():
+            at, place = unstepped(x["ranks"]), unstepped(x["places"])
+            new = _spelled(x["words"]) if x["words"] or not unplaned(x["learnt"]).all() else []
+            codes, owner = word_codes(new) if new else (None, None)
+            spelt = np.array([np.log10(mass / customers) + np.bincount(owner, s.value.log10(codes), len(new)) for s, (mass, customers, _) in zip(spellings, levels)] if new else [])
+            rows.append({"block": x["block"], "shard": x["shard"], "learnt": x["learnt"], "n": planes(n[at]), "p": floats(logs[:, at]), "new": floats(spelt), "whole": planes(whole[at]), "seats": planes(seats[:, at].ravel()), "c": planes(c[place]), "t": planes(t[place])})
         return pa.Table.from_pylist(rows, _ANSWERS)
 
     return answer
 
 
-def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of what is asked among sorted keys, and whether it is there."""
-    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-
-
-def _score_block(n: int, v: int, samples: int, discount: float, concentration: float):
+def _score_block(n: int, v: int, levels: list[tuple[float, float, float]], discount: float, concentration: float):
     """Cogrouped function: documents of a block, and what became of its words and pairs."""
-
-    def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        places = [unplaned(x) for x in answers.places]
-        place, label = np.concatenate(places), np.repeat(answers.shard.to_numpy(), [len(x) for x in places])
-        size = len(place)
-        c, shard, p, share = np.zeros(size), np.zeros(size, int), np.zeros((samples, size)), np.zeros((samples, size))
-        c[place], shard[place] = np.concatenate([unplaned(x, "<i8") for x in answers.c]), label
-        p[:, place] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.p], axis=1)
-        share[:, place] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.share], axis=1)
-        total = np.zeros(size)
-        total[place] = np.concatenate([unplaned(x, "<i8") for x in answers.total])
-        base = np.log10((c + 1) / (n + 1 * (v + 1)))
-        stop = size - 1
-        texts = [unplaned(x) for x in docs.places]
-        both = _pairs(texts, stop)
-        met, of_text = np.unique(np.concatenate(both), return_inverse=True)
-        first, second = met // size, met % size
-        own = np.empty(len(met))
-        by_shard = [unplaned(a, "<i8") - discount * unplaned(b, "<i8") / samples for _, a, b in sorted(zip(answers.shard, answers.pairs, answers.tables), key=lambda x: x[0])]
-        own[np.argsort(shard[first], kind="stable")] = np.concatenate(by_shard)
-        own /= concentration + total[first]
-        spelt = p.copy()
-        spelt[:, place[np.concatenate([unplaned(x, "<i8") for x in answers.c]) == 0]] = np.concatenate([unplaned(x, "<f4").reshape(samples, -1) for x in answers.new], axis=1)
+    size = len(levels)
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        told, docs = _by_shard(answers), docs.select(["id", "held_out", "places"]).to_pylist()
+        learnt = np.concatenate([unplaned(a["learnt"]) for a in told]) > 0
+
+        def spread(key: str, read, where: np.ndarray, out: np.ndarray) -> np.ndarray:
+            out[:, where] = np.concatenate([read(a[key]).reshape(len(out), -1) for a in told], axis=1)
+            return out
+
+        c = spread("n", unplaned, learnt, np.zeros((1, len(learnt)), np.int64))[0]
+        others = np.array([[np.log10(mass / customers * rest)] for mass, customers, rest in levels])
+        p = spread("p", unfloated, learnt, np.repeat(others, len(learnt), axis=1))
+        spelt = spread("new", unfloated, ~learnt, p.copy())
+        whole = spread("whole", unplaned, learnt, np.zeros((1, len(learnt))))[0]
+        share = np.log10((concentration + discount * spread("seats", unplaned, learnt, np.zeros((size, len(learnt))))) / (concentration + whole))
+        texts = [unplaned(d["places"]) for d in docs]
+        every, pairs, place = _learnt_pairs(texts, learnt)
+        many, seats = (np.concatenate([unplaned(a[k]) for a in told]) for k in ("c", "t"))
+        own = np.append((many - discount * seats / size) / (concentration + whole[pairs // len(learnt)]), 0.0)[place]
+        first, second = every // len(learnt), every % len(learnt)
 
         def mixed(p: np.ndarray) -> np.ndarray:
-            back = np.log10(share[:, first]) + p[:, second]
+            back = share[:, first] + p[:, second]
             top = back.max(0)
             back = top + np.log10((10.0 ** (back - top)).mean(0))
-            return np.where(own > 0, np.log10(own + 10.0**back), back)[of_text]
+            return np.where(own > 0, np.log10(own + 10.0**back), back)
 
-        lp, whole = mixed(p), mixed(spelt)
-        ends, out = np.cumsum([len(x) for x in both]), []
-        for doc, text, end in zip(docs.itertuples(), texts, ends):
-            at = np.append(text, stop)
-            out.append((doc.id, bool(doc.held_out), len(at), int((c[at] > 0).sum()), n, float(base[at].sum()), float(lp[end - len(at) : end].sum()), float(whole[end - len(at) : end].sum())))
-        frame = pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"])
-        return frame.astype({"id": "Int64"})
+        lens = np.array(list(map(len, texts)))
+        starts = np.cumsum(lens) - lens
+        base = np.log10((c + 1) / (n + 1 * (v + 1)))[second]
+        sums = [np.add.reduceat(x, starts) for x in ((c[second] > 0).astype(np.int64), base, mixed(p), mixed(spelt))]
+        return pa.Table.from_pydict({"id": [d["id"] for d in docs], "held_out": [d["held_out"] for d in docs], "n_tokens": lens, "n_known": sums[0], "train_tokens": np.full(len(docs), n), "base_score": sums[1], "score": sums[2], "open_score": sums[3]}, _SCORES)
 
     return score
 
@@ -358,24 +378,32 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     perplexity is 10 ** (-score / n_tokens). base_score adds one to the counts: log10((c + 1) / (N + 1 * (V + 1))).
 
     Null and empty texts are one end token; a null held_out counts as false; repeated rows are scored, and learnt
-    from, as often as they are there; an empty table gives an empty result; other columns are ignored.
-
-    Words and pairs of neighbours are counted within a block of texts before they are shuffled, so each costs at most
-    an entry a block however often it occurs; shards, as many as the corpus asks for, sum the counts, and each block
-    gets back what its words and pairs are worth. A word's shard also holds what follows the word, by 64-bit hash; in a
-    sweep it tells the shards of those words its tables and is told their probabilities. Only sums of byte contexts, at
-    most 2**24 whatever the corpus, reach the driver, and the spelling model they give is as bounded.
+    from, as often as they are there; an empty table gives an empty result; other columns are ignored. Ids that are not
+    numbers are null.
+
+    A block of texts numbers its distinct words; shards, as many as the corpus asks for, own ranges of hashes, count
+    the words and tell each block their numbers. With these a block counts its pairs before they are shuffled, so each
+    costs at most an entry a block however often it occurs; the shard of a pair's first word sums them and remembers
+    where each block's are. In a sweep shards tell each other tables and probabilities of the words that they share.
+    At last each block gets back what its words and pairs are worth. Only sums of byte contexts, at most 2**24 whatever
+    the corpus, reach the driver, and the spelling model they give is as bounded.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-total // shard_bytes))
-    rows = stored(slim.mapInArrow(_blocks(block_chars, shards), ROWS), "lm-blocks")
-    asks = rows.where(f"kind = {ASK}").drop("kind", "id", "held_out")
-    counted = stored(asks.groupBy("shard").applyInArrow(_count, STATE), "lm-words")
+    slim = docs.select(F.expr(f"try_cast(`{id_col}` as long)").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    shards = max(8, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    rows = stored_by(slim.mapInArrow(_blocks(block_chars, shards), ROWS), "kind", (DOC, ASK), "lm-blocks")
+    texts = rows[DOC].select("block", "id", "held_out", "places")
+    counted = stored(rows[ASK].select("shard", "block", "words", "counts").groupBy("shard").applyInArrow(_count, WORDS), "lm-words")
+    discard(rows[ASK])
+    _let_go(spark)
+    ranks = counted.where(f"kind = {RANK}").select("block", "shard", "ranks", "words")
+    asked = stored(texts.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(_ask_pairs, ASKED), "lm-asked")
+    _let_go(spark)
+    gathered = stored(asked.groupBy("shard").applyInArrow(_gather, PAIRS), "lm-pairs")
+    discard(asked)
     _let_go(spark)
-    words, pairs, old = counted.where(f"kind = {WORD}"), counted.where(f"kind = {PAIR}"), [counted]
-    sums = lambda state: state.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*_SUMS, "spelt")]).first()
+    words, pairs, old = counted.where(f"kind = {WORD}"), gathered.where(f"kind = {PAIR}"), [counted]
+    sums = lambda state, *more: state.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*_SUMS, *more)]).first()
     one, two = sums(words), sums(pairs)
     n, v, tables = one.total, one.kinds, one.tables
     below = discount_of(np.array([1, 2]), np.array([two.once, two.twice], float))
@@ -384,25 +412,26 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         letters = words.select("words", "t").mapInArrow(_letters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
         spelling = spark.sparkContext.broadcast(sample_spelling(letters.code.to_numpy(np.int64), letters.n.to_numpy(np.int64), seed=k + 1))
         keep = k >= burn_in
-        calls = pairs.select("shard", "met", "follow", "t").mapInArrow(_calls(shards), CALLS)
-        told = stored(calls.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_seat_words(spelling, discount, concentration, tables, keep, k + 1), STATE), "lm-words")
+        calls = pairs.select("shard", "met", "follow", "t").mapInArrow(_call, CALLS)
+        told = stored(calls.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_seat_words(spelling, discount, concentration, tables, two.tables, keep, k + 1), WORDS), "lm-words")
         words = told.where(f"kind = {WORD}")
-        one = sums(words)
-        tables, mass, customers = one.tables, concentration + discount * one.tables, concentration + one.customers
-        replies = told.where(f"kind = {REPLY}")
-        pairs = stored(pairs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_seat_pairs(shards, below, context_concentration, mass, customers, keep, k + 1), STATE), "lm-pairs")
+        one = sums(words, "spelt")
+        tables = one.tables
+        pairs = stored(pairs.groupBy("shard").cogroup(told.where(f"kind = {REPLY}").groupBy("shard")).applyInArrow(_seat_pairs(below, context_concentration, keep, k + 1), PAIRS), "lm-pairs")
+        two = sums(pairs)
         for table in old:
             discard(table)
         old = [told, pairs]
         _let_go(spark)
         if keep:
             spellings.append(spelling)
-            levels.append((mass, customers, max(1e-12, 1 - one.spelt)))
+            levels.append((concentration + discount * tables, concentration + one.customers, max(1e-12, 1 - one.spelt)))
         else:
             discount = discount_of(np.array([1, 2]), np.array([one.once, one.twice], float))
+    whole = pairs.unionByName(gathered.where(f"kind = {PLACE}"))
+    answers = stored(whole.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer(spellings, levels), ANSWERS), "lm-answers")
+    for table in (*old, gathered):
+        discard(table)
     _let_go(spark)
-    asked = asks.select("block", F.col("shard").alias("asked"), "places", "words", "runs", "follow")
-    answers = asked.groupBy("asked").cogroup(words.unionByName(pairs).groupBy("shard")).applyInArrow(_answer(spellings, levels, below, context_concentration), ANSWERS)
-    texts = rows.where(f"kind = {DOC}").select(F.col("block").alias("own"), "id", "held_out", "places")
-    scored = texts.groupBy("own").cogroup(answers.groupBy("block")).applyInPandas(_score_block(n, v, samples, below, context_concentration), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, open_score double")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(n, v, levels, below, context_concentration), SCORES)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"), "open_score")

@@ -12,31 +12,32 @@ END, SYMBOLS = 0x20, 256 - 5
 ONE_BY_ONE = 16
 
 
-def seat(customers: np.ndarray, discount, strength: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def seat(customers: np.ndarray, discount, strength: np.ndarray, rng: np.random.Generator, own: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables that the customers of each dish take when they are seated anew, one after the other.
 
-    strength: for each dish (concentration + discount * tables of other dishes) * the parent's probability of the dish.
-    With i customers at t tables the next opens a table with probability s / (i - d * t + s), where s is the strength
-    plus what the dish's own tables add to it, and sits down at one of the t otherwise. Beyond ONE_BY_ONE customers
+    strength: for each dish (concentration + discount * tables of other dishes) * the parent's probability of the dish;
+    own: what each of the dish's own tables adds to that, discount * the probability. With i customers at t tables the
+    next opens a table with probability s / (i - d * t + s), s = strength + own * t, and sits down at one of the t
+    otherwise. Beyond ONE_BY_ONE customers
     the arrivals of new tables follow ((i - d * t) / (k - d * t)) ** s, the chance that none opens from i to k: a dish
     of a billion customers takes a step for each table, not for each customer.
     """
     c = np.asarray(customers, np.int64)
     d = np.broadcast_to(np.asarray(discount, float), c.shape)
     tables = (c > 0).astype(np.int64)
-    s0 = np.maximum(np.asarray(strength, float), 1e-300)
+    s0, each = np.maximum(np.asarray(strength, float), 1e-300), np.broadcast_to(np.asarray(own, float), c.shape)
     for i in range(1, ONE_BY_ONE):
         on = np.flatnonzero(c > i)
         if not len(on):
             return tables
-        s = s0[on]
+        s = s0[on] + each[on] * tables[on]
         tables[on] += rng.random(len(on)) < s / (i - d[on] * tables[on] + s)
     on, at = np.flatnonzero(c > ONE_BY_ONE), None
     at = np.full(len(on), float(ONE_BY_ONE))
     while len(on):
         with np.errstate(over="ignore"):
             room = at - d[on] * tables[on]
-            at = np.floor(d[on] * tables[on] + room * rng.random(len(on)) ** (-1.0 / s0[on])) + 1
+            at = np.floor(d[on] * tables[on] + room * rng.random(len(on)) ** (-1.0 / (s0[on] + each[on] * tables[on]))) + 1
         more = at <= c[on]
         on, at = on[more], at[more]
         tables[on] += 1
@@ -98,12 +99,12 @@ def sample_spelling(codes: np.ndarray, counts: np.ndarray, sweeps: int = 4, conc
     for _ in range(sweeps):
         p0, p1 = below()
         whole = np.bincount(context, t2, 1 << 16)[context]
-        t2 = seat(counts, d2, (th + d2 * (whole - t2)) * p1[pair >> 8, pair & 255], rng)
+        t2 = seat(counts, d2, (th + d2 * (whole - t2)) * p1[pair >> 8, pair & 255], rng, d2 * p1[pair >> 8, pair & 255])
         c1 = np.bincount(pair, t2, 1 << 16).astype(np.int64)
         whole = t1.reshape(256, 256).sum(1).repeat(256)
-        t1 = seat(c1, d1, (th + d1 * (whole - t1)) * np.tile(p0, 256), rng)
+        t1 = seat(c1, d1, (th + d1 * (whole - t1)) * np.tile(p0, 256), rng, d1 * np.tile(p0, 256))
         c0 = t1.reshape(256, 256).sum(0)
-        t0 = seat(c0, d0, (th + d0 * (t0.sum() - t0)) * uniform, rng)
+        t0 = seat(c0, d0, (th + d0 * (t0.sum() - t0)) * uniform, rng, d0 * uniform)
     _, p1 = below()
     total = np.bincount(context, counts, 1 << 16)
     share = (th + d2 * np.bincount(context, t2, 1 << 16)) / (th + total)

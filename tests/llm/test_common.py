@@ -19,3 +19,11 @@ def test_stored_tables_can_be_discarded(spark):
 
 def test_fresh_names(spark):
     assert common.fresh(spark.createDataFrame([(1, 2)], "a int, _A int"), "a", "b") == ["__a", "b"]
+
+
+def test_stored_by_value(spark):
+    df = spark.createDataFrame([(0, "a"), (2, "b"), (0, "c")], "k int, v string")
+    out = common.stored_by(df, "k", (0, 1, 2), "test")
+    assert [sorted(r.v for r in out[k].collect()) for k in (0, 1, 2)] == [["a", "c"], [], ["b"]]
+    common.discard(out[0])
+    assert out[2].count() == 1

@@ -80,24 +80,93 @@ def test_order_and_spelling_count(spark):
 
 
 def test_next_words_are_a_distribution():
-    """What a context gives to learnt words, and leaves to others, sums to one in each sample."""
-    words, c, t, spelt, d, th = b" \na\nb", np.array([3, 4, 1]), np.array([2, 1, 1]), np.array([0.1, 0.2, 0.3]), 0.5, 10.0
-    hashes = M._hashed(words)
-    order = np.argsort(hashes)
-    mass, customers = th + d * t.sum(), th + c.sum()
-    blob = lambda *xs: b"".join(M.planes(x, "<f8") for x in xs)
-    a = c - d * t
-    known = M._row(M.WORD, 0, c, t, blob(a, spelt, a, spelt), c, words=words)
+    """What a context gives to learnt words, and leaves to others, sums to one in the mean of the samples."""
+    d, th, n, size = 0.5, 1.0, 8, 2
+    words, c, t, spelt = b" \na\nb", np.array([3, 4, 1]), np.array([2, 1, 1]), np.array([0.125, 0.25, 0.25])
+    mass, customers = 10.0 + d * t.sum(), 10.0 + c.sum()
+    known = M._row(M.WORD, 0, c, t, (M.floats(c - d * t) + M.floats(spelt)) * size, n, words=words, n=M.planes(c))
     many, seats = np.array([5, 2]), [np.array([2, 1]), np.array([3, 2])]
-    pairs = M._row(M.PAIR, 0, many, seats[1], M.planes(seats[0]) + M.planes(seats[1]), contexts=M.planes(hashes[1:2], "<u8"), runs=M.planes(np.array([2])), met=M.planes(hashes[order][:2], "<u8"), follow=M.planes(np.arange(2)))
-    ask = {"block": 1, "asked": 0, "places": M.planes(np.arange(4)), "words": words + b"\nzq", "runs": M.planes(np.array([0, 3, 0, 0])), "follow": M.planes(hashes, "<u8")}
+    pairs = M._row(M.PAIR, 0, many, seats[1], M.planes(seats[0] + seats[1]), 7, runs=M.planes(np.array([0, 2, 0])), met=M.steps(np.array([0, 1])), follow=M.planes(np.arange(2)), seats=M.planes(np.array([0, 3, 0, 0, 5, 0])))
+    ask = {"kind": M.PLACE, "shard": 0, "block": 1, "learnt": M.planes(np.array([1, 1, 1, 0])), "words": b"zq", "ranks": M.steps(np.arange(3)), "places": M.steps(np.arange(2))}
     spelling = Y.sample_spelling(np.zeros(0, np.int64), np.zeros(0, np.int64))
     one = collections.namedtuple("Shared", "value")(spelling)
-    table = lambda rows, **more: M.pa.Table.from_pylist(rows, **more)
-    r = M._answer([one, one], [(mass, customers, 0.4)] * 2, d, 1.0)(table([ask]), table([known, pairs], schema=M._STATE)).to_pylist()[0]
-    p = 10.0 ** M.unplaned(r["p"], "<f4").reshape(2, 4).astype(float)
-    share, total = M.unplaned(r["share"], "<f4").reshape(2, 4), M.unplaned(r["total"], "<i8")
-    own = np.maximum(0, M.unplaned(r["pairs"], "<i8") - d * M.unplaned(r["tables"], "<i8") / 2) / (1.0 + total[1])
-    assert np.allclose(p.sum(1), 1, atol=1e-5) and math.isclose(own.sum() + share[:, 1].mean(), 1, abs_tol=1e-5)
-    assert (own > 0).sum() == 2 and share[0, 1] != share[1, 1] and (share[:, [0, 2, 3]] == 1).all()
-    assert (M.unplaned(r["new"], "<f4") < np.log10(p[:, 3])).all()
+    levels = [(mass, customers, 0.375)] * size
+    answer = M._answer([one] * size, levels)(M.pa.Table.from_pylist([pairs, ask], M._PAIRS), M.pa.Table.from_pylist([known], M._WORDS))
+    doc = lambda places: {"id": 1, "held_out": False, "places": M.planes(np.array([*places, 0]))}  # noqa: E731  the end has number 0
+    score = lambda *places: M._score_block(n, 3, levels, d, th)(M.pa.Table.from_pylist([doc(places)]), answer).to_pylist()[0]["score"]
+    p = [*np.log10((c - d * t + mass * spelt) / customers), math.log10(mass / customers * 0.375)]
+    end_after = [None] + [score(x) - p[x] for x in (1, 2, 3)]  # other contexts than 1 have no customers, so p alone counts
+    after = [end_after[1]] + [score(1, x) - p[1] - end_after[x] for x in (1, 2, 3)]
+    assert math.isclose(sum(10**x for x in after), 1, abs_tol=1e-5) and after[0] > p[0] and after[1] > p[1] and after[2] < p[2]
+    assert math.isclose(sum(10**x for x in p), 1) and math.isclose(score(), p[0], abs_tol=1e-6)
+
+
+def test_against_a_plain_sampler(spark):
+    """Mean log probabilities of held-out texts near those of a sampler that takes out and seats one customer at a time, over the same base."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(12)]
+    chain = rng.dirichlet(np.full(12, 0.3), size=12)
+
+    def text(n):
+        out = [int(rng.integers(12))]
+        while len(out) < n:
+            out.append(int(rng.choice(12, p=chain[out[-1]])))
+        return " ".join(words[i] for i in out)
+
+    rows = [(i, text(20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in M.score_documents(df, F.col("doc_id") >= 50, burn_in=3, samples=6).collect()}
+    lines = [[12, *(words.index(w) for w in t.split()), 12] for _, t in rows]
+    learnt, size = lines[:50], 13
+    pairs = collections.Counter((a, b) for x in learnt for a, b in zip(x, x[1:]))
+    d = Y.discount_of(np.array(list(pairs.values())))
+    base, th1, th0 = np.full(size, 0.9 / size), 1.0, 10.0  # words of like spelling have like probabilities, some is left to others
+    seated = {p: [] for p in pairs}  # customers of each table
+    top = [[] for _ in range(size)]
+
+    def p0(w):
+        total, tables = sum(map(sum, top)), sum(map(len, top))
+        return (sum(top[w]) - d * len(top[w]) + (th0 + d * tables) * base[w]) / (th0 + total)
+
+    def open_top(w):
+        total = sum(map(len, top))
+        weights = [k - d for k in top[w]] + [(th0 + d * total) * base[w]]
+        at = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        top[w].append(1) if at == len(top[w]) else top[w].__setitem__(at, top[w][at] + 1)
+
+    def leave(tables):
+        at = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+        return False
+
+    def sit(a, b):
+        tables = seated[a, b]
+        open_ = (th1 + d * sum(len(seated[x, y]) for x, y in seated if x == a)) * p0(b)
+        weights = [k - d for k in tables] + [open_]
+        at = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if at == len(tables):
+            tables.append(1)
+            open_top(b)
+        else:
+            tables[at] += 1
+
+    customers = [p for p, n in pairs.items() for _ in range(n)]
+    for p in customers:
+        sit(*p)
+    want = np.zeros(10)
+    for _ in range(3):
+        for a, b in customers:
+            if leave(seated[a, b]):
+                leave(top[b])
+            sit(a, b)
+    whole = collections.Counter(a for a, _ in customers)
+    tables = collections.Counter()
+    for (a, _), x in seated.items():
+        tables[a] += len(x)
+    for k, line in enumerate(lines[50:]):
+        want[k] = sum(math.log10((max(0, pairs[a, b] - d * len(seated.get((a, b), []))) + (th1 + d * tables[a]) * p0(b)) / (th1 + whole[a])) for a, b in zip(line, line[1:]))
+    mine = np.array([got[i] for i in range(50, 60)])
+    assert abs(mine.sum() / want.sum() - 1) < 0.05 and np.corrcoef(mine, want)[0, 1] > 0.9
