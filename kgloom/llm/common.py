@@ -39,22 +39,22 @@ def scratch(spark: SparkSession) -> str:
     return (folder or _own[0]).rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def stored_by(df: DataFrame, column: str, values: tuple, label: str) -> dict:
+def stored_by(df: DataFrame, column: str, values: tuple, label: str, codec: str = "snappy") -> dict:
     """As stored, with a table for each value of an int column, which they lack; each can be discarded alone."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
+    df.write.partitionBy(column).parquet(path, compression=codec)
     schema, out = df.drop(column).schema, {}
     for v in values:
         at = f"{path}/{column}={v}"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import discard, release, stored, stored_by
 from kgloom.llm.hashing import lower, word_hashes
-from kgloom.llm.pitman_yor import discount_of, sample_spelling, seat, word_codes
+from kgloom.llm.pitman_yor import code_counts, discount_of, sample_spelling, seat, word_codes
 
 #: The token that ends a text, and that its first word follows: no word holds a blank. Its hash is as arbitrary as a word's.
 STOP, STOP_HASH = b" ", np.uint64(0x5BD1E995C2B2AE35)
@@ -224,9 +224,10 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for words, t in zip(batch.column(0), batch.column(1)):
-            own, owner = word_codes(_spelled(words.as_py()))
+            own, starts = word_codes(_spelled(words.as_py()))
+            own, n = code_counts(own, np.repeat(unplaned(t.as_py()), np.diff(np.append(starts, len(own)))))
             codes, place = np.unique(np.concatenate([codes, own]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, unplaned(t.as_py())[owner]])).astype(np.int64)
+            sums = np.bincount(place, np.concatenate([sums, n])).astype(np.int64)
     if len(codes):
         yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(sums, pa.int64())})
 
@@ -257,8 +258,8 @@ def _seat_words(shared, discount: float, concentration: float, tables: int, cust
             at, c = [unstepped(x["ranks"]) for x in calls], np.zeros(len(old), np.int64)
             for k, x in zip(at, calls):
                 c[k] += unplaned(x["t"])
-            codes, owner = word_codes(_spelled(r["words"]))
-            spelt = 10.0 ** np.bincount(owner, shared.value.log10(codes), len(c))
+            codes, starts = word_codes(_spelled(r["words"]))
+            spelt = 10.0 ** np.add.reduceat(shared.value.log10(codes), starts, dtype=float)
             t = seat(c, discount, (concentration + discount * np.maximum(0, tables - old)) * spelt, np.random.default_rng([seed, r["shard"]]), discount * spelt)
             rest = c - discount * t
             samples = r["samples"] + (floats(rest) + floats(spelt) if counted else b"")
@@ -313,8 +314,8 @@ def _answer(spellings: list, levels: list[tuple[float, float, float]]):
         for x in pairs.filter(pa.array(kinds == PLACE)).to_pylist():
             at, place = unstepped(x["ranks"]), unstepped(x["places"])
             new = _spelled(x["words"]) if x["words"] or not unplaned(x["learnt"]).all() else []
-            codes, owner = word_codes(new) if new else (None, None)
-            spelt = np.array([np.log10(mass / customers) + np.bincount(owner, s.value.log10(codes), len(new)) for s, (mass, customers, _) in zip(spellings, levels)] if new else [])
+            codes, starts = word_codes(new) if new else (None, None)
+            spelt = np.array([np.log10(mass / customers) + np.add.reduceat(s.value.log10(codes), starts, dtype=float) for s, (mass, customers, _) in zip(spellings, levels)] if new else [])
             rows.append({"block": x["block"], "shard": x["shard"], "learnt": x["learnt"], "n": planes(n[at]), "p": floats(logs[:, at]), "new": floats(spelt), "whole": planes(whole[at]), "seats": planes(seats[:, at].ravel()), "c": planes(c[place]), "t": planes(t[place])})
         return pa.Table.from_pylist(rows, _ANSWERS)
 
@@ -366,7 +367,7 @@ def _let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, concentration: float = 10.0, context_concentration: float = 1.0, block_chars: int = 5_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, concentration: float = 10.0, context_concentration: float = 1.0, block_chars: int = 8_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, open_score for each row of docs.
 
     Learns from the rows whose held_out is false. Tokens are runs of characters other than ASCII blanks, with A-Z
@@ -391,18 +392,19 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     spark = docs.sparkSession
     slim = docs.select(F.expr(f"try_cast(`{id_col}` as long)").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     shards = max(8, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    rows = stored_by(slim.mapInArrow(_blocks(block_chars, shards), ROWS), "kind", (DOC, ASK), "lm-blocks")
+    rows = stored_by(slim.mapInArrow(_blocks(block_chars, shards), ROWS), "kind", (DOC, ASK), "lm-blocks", "zstd")
     texts = rows[DOC].select("block", "id", "held_out", "places")
-    counted = stored(rows[ASK].select("shard", "block", "words", "counts").groupBy("shard").applyInArrow(_count, WORDS), "lm-words")
+    counted = stored_by(rows[ASK].select("shard", "block", "words", "counts").groupBy("shard").applyInArrow(_count, WORDS), "kind", (WORD, RANK), "lm-words", "zstd")
     discard(rows[ASK])
     _let_go(spark)
-    ranks = counted.where(f"kind = {RANK}").select("block", "shard", "ranks", "words")
-    asked = stored(texts.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(_ask_pairs, ASKED), "lm-asked")
+    ranks = counted[RANK].select("block", "shard", "ranks", "words")
+    asked = stored(texts.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(_ask_pairs, ASKED), "lm-asked", "zstd")
+    discard(counted[RANK])
     _let_go(spark)
-    gathered = stored(asked.groupBy("shard").applyInArrow(_gather, PAIRS), "lm-pairs")
+    gathered = stored_by(asked.groupBy("shard").applyInArrow(_gather, PAIRS), "kind", (PAIR, PLACE), "lm-pairs", "zstd")
     discard(asked)
     _let_go(spark)
-    words, pairs, old = counted.where(f"kind = {WORD}"), gathered.where(f"kind = {PAIR}"), [counted]
+    words, pairs = counted[WORD], gathered[PAIR]
     sums = lambda state, *more: state.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*_SUMS, *more)]).first()
     one, two = sums(words), sums(pairs)
     n, v, tables = one.total, one.kinds, one.tables
@@ -413,24 +415,26 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         spelling = spark.sparkContext.broadcast(sample_spelling(letters.code.to_numpy(np.int64), letters.n.to_numpy(np.int64), seed=k + 1))
         keep = k >= burn_in
         calls = pairs.select("shard", "met", "follow", "t").mapInArrow(_call, CALLS)
-        told = stored(calls.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_seat_words(spelling, discount, concentration, tables, two.tables, keep, k + 1), WORDS), "lm-words")
-        words = told.where(f"kind = {WORD}")
+        told = stored_by(calls.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_seat_words(spelling, discount, concentration, tables, two.tables, keep, k + 1), WORDS), "kind", (WORD, REPLY), "lm-words", "zstd")
+        discard(words)
+        _let_go(spark)
+        words = told[WORD]
         one = sums(words, "spelt")
         tables = one.tables
-        pairs = stored(pairs.groupBy("shard").cogroup(told.where(f"kind = {REPLY}").groupBy("shard")).applyInArrow(_seat_pairs(below, context_concentration, keep, k + 1), PAIRS), "lm-pairs")
-        two = sums(pairs)
-        for table in old:
-            discard(table)
-        old = [told, pairs]
+        seated = stored(pairs.groupBy("shard").cogroup(told[REPLY].groupBy("shard")).applyInArrow(_seat_pairs(below, context_concentration, keep, k + 1), PAIRS), "lm-pairs", "zstd")
+        discard(told[REPLY])
+        discard(pairs)
         _let_go(spark)
+        pairs = seated
+        two = sums(pairs)
         if keep:
             spellings.append(spelling)
             levels.append((concentration + discount * tables, concentration + one.customers, max(1e-12, 1 - one.spelt)))
         else:
             discount = discount_of(np.array([1, 2]), np.array([one.once, one.twice], float))
-    whole = pairs.unionByName(gathered.where(f"kind = {PLACE}"))
-    answers = stored(whole.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer(spellings, levels), ANSWERS), "lm-answers")
-    for table in (*old, gathered):
+    whole = pairs.drop("kind").withColumn("kind", F.lit(PAIR)).unionByName(gathered[PLACE].withColumn("kind", F.lit(PLACE)))
+    answers = stored(whole.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(_answer(spellings, levels), ANSWERS), "lm-answers", "zstd")
+    for table in (words, pairs, gathered[PLACE]):
         discard(table)
     _let_go(spark)
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(n, v, levels, below, context_concentration), SCORES)

@@ -8,7 +8,7 @@ import numpy as np
 
 #: The byte that ends a word, and that stands before its first; a word never holds it. Bytes 9 to 13 never occur either.
 END, SYMBOLS = 0x20, 256 - 5
-#: So many customers of a dish are seated one by one; after them the next new table's arrival is drawn at once.
+#: So many customers of a dish are seated one by one.
 ONE_BY_ONE = 16
 
 
@@ -18,29 +18,25 @@ def seat(customers: np.ndarray, discount, strength: np.ndarray, rng: np.random.G
     strength: for each dish (concentration + discount * tables of other dishes) * the parent's probability of the dish;
     own: what each of the dish's own tables adds to that, discount * the probability. With i customers at t tables the
     next opens a table with probability s / (i - d * t + s), s = strength + own * t, and sits down at one of the t
-    otherwise. Beyond ONE_BY_ONE customers
-    the arrivals of new tables follow ((i - d * t) / (k - d * t)) ** s, the chance that none opens from i to k: a dish
-    of a billion customers takes a step for each table, not for each customer.
+    otherwise. Beyond ONE_BY_ONE customers they come in parties of a twentieth of those that sit, with the chance at the
+    party's middle: a dish of a billion customers takes some hundred steps, however many its tables.
     """
     c = np.asarray(customers, np.int64)
     d = np.broadcast_to(np.asarray(discount, float), c.shape)
     tables = (c > 0).astype(np.int64)
     s0, each = np.maximum(np.asarray(strength, float), 1e-300), np.broadcast_to(np.asarray(own, float), c.shape)
-    for i in range(1, ONE_BY_ONE):
-        on = np.flatnonzero(c > i)
-        if not len(on):
-            return tables
-        s = s0[on] + each[on] * tables[on]
-        tables[on] += rng.random(len(on)) < s / (i - d[on] * tables[on] + s)
-    on, at = np.flatnonzero(c > ONE_BY_ONE), None
-    at = np.full(len(on), float(ONE_BY_ONE))
+    i, on = 1, np.flatnonzero(c > 1)
     while len(on):
-        with np.errstate(over="ignore"):
-            room = at - d[on] * tables[on]
-            at = np.floor(d[on] * tables[on] + room * rng.random(len(on)) ** (-1.0 / (s0[on] + each[on] * tables[on]))) + 1
-        more = at <= c[on]
-        on, at = on[more], at[more]
-        tables[on] += 1
+        s = s0[on] + each[on] * tables[on]
+        if i < ONE_BY_ONE:
+            party = 1
+            tables[on] += rng.random(len(on)) < s / (i - d[on] * tables[on] + s)
+        else:
+            party = max(1, i // 20)
+            come = np.minimum(party, c[on] - i)
+            tables[on] += rng.binomial(come, s / (i + (come - 1) / 2 - d[on] * tables[on] + s))
+        i += party
+        on = on[c[on] > i]
     return tables
 
 
@@ -64,9 +60,16 @@ class Spelling:
     below: np.ndarray
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        seen = np.where(self.codes[at] == codes, self.own[at], 0.0) if len(self.codes) else 0.0
-        return np.log10(seen + self.share[codes >> 8] * self.below[(codes >> 8) & 255, codes & 255])
+        """From a table of the contexts that were met, and of last bytes for those that weren't; made where it is first asked for."""
+        if not hasattr(self, "_row"):
+            met, at = np.unique(self.codes >> 8, return_inverse=True)
+            p = self.share[met][:, None] * self.below[met & 255]
+            p[at, self.codes & 255] += self.own
+            self._row = (len(met) + (np.arange(1 << 16) & 255)).astype(np.int32)
+            self._row[met] = np.arange(len(met))
+            rest = np.log10(np.maximum(self.below, 1e-300))
+            self._logs = np.concatenate([np.log10(p), rest]).ravel()
+        return self._logs[self._row[codes >> 8] << 8 | codes & 255]
 
 
 def sample_spelling(codes: np.ndarray, counts: np.ndarray, sweeps: int = 4, concentration: float = 1.0, seed: int = 1) -> Spelling:
@@ -112,10 +115,27 @@ def sample_spelling(codes: np.ndarray, counts: np.ndarray, sweeps: int = 4, conc
 
 
 def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, word of each code): for each byte of a word, and its end, the two bytes before and the byte itself."""
-    joined = np.frombuffer(b"".join(b"  " + w + b" " for w in words), np.uint8).astype(np.int64)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    codes = (joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:]
-    owner = np.repeat(np.arange(len(words)), lens + 3)[2:]
-    place = np.arange(len(owner)) + 2 - np.repeat(np.cumsum(lens + 3) - lens - 3, lens + 3)[2:]
-    return codes[place >= 2], owner[place >= 2]
+    """(codes, where each word's start): for each byte of a word, and its end, the two bytes before and the byte itself."""
+    joined = np.frombuffer(b"  " + b"   ".join(words) + b" ", np.uint8).astype(np.int32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    starts = np.cumsum(size) - size
+    own = np.ones(len(joined), bool)
+    own[starts] = own[starts + 1] = False
+    return ((joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:])[own[2:]], starts - 2 * np.arange(len(words))
+
+
+def code_counts(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, sums of their weights), by the bytes that occur, which are few."""
+    there = np.zeros(256, bool)
+    there[codes & 255] = there[(codes >> 8) & 255] = there[codes >> 16] = True
+    symbols = np.flatnonzero(there)
+    k = len(symbols)
+    if k**3 > 1 << 22:
+        found, place = np.unique(codes, return_inverse=True)
+        return found, np.bincount(place, weights, len(found)).astype(np.int64)
+    number = np.zeros(256, np.int32)
+    number[symbols] = np.arange(k)
+    dense = (number[codes >> 16] * k + number[(codes >> 8) & 255]) * k + number[codes & 255]
+    met = np.flatnonzero(np.bincount(dense, minlength=1))
+    sums = np.bincount(dense, weights, minlength=1)[met]
+    return symbols[met // (k * k)] << 16 | symbols[met // k % k] << 8 | symbols[met % k], sums.astype(np.int64)
