@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _RANKS = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
-#: p values are counted in so many bins for the control of false discoveries; strata of fewer tokens are pooled.
-BINS, SPARSE = 200, 100
+#: p values are counted in so many bins for the control of false discoveries; strata of fewer tokens in the upper half are pooled.
+BINS, SPARSE = 200, 20
+#: The battery rejects a token below this p, however many random ones its stratum has.
+LEVEL = 0.2
+#: From where on the p values of random tokens may stand alone, and how many it takes to see that they spread evenly.
+STARTS = ((0.5, SPARSE), (0.6, 100), (0.7, 100), (0.8, 100), (0.9, 100))
 
 
 def infer_encoding(token: str) -> str | None:
@@ -57,51 +63,68 @@ def infer_encoding(token: str) -> str | None:
     return None
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def chi_squared_p(x: np.ndarray, k: int) -> float:
-    """Upper tail of the alphabet's uniformity statistic, a gamma law by its exact mean and variance for this length, by the cube root."""
-    n = len(x)
-    stat = k / n * float((np.bincount(x, minlength=k).astype(float) ** 2).sum()) - n
+def _normal_tail(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)).astype(float)
+
+
+def chi_squared_p(x: np.ndarray, k: int) -> np.ndarray:
+    """For each row: upper tail of the alphabet's uniformity statistic, a gamma law by its exact mean and variance for this length, by the cube root."""
+    rows, n = x.shape
+    counts = np.bincount((x + k * np.arange(rows)[:, None]).ravel(), minlength=rows * k).reshape(rows, k).astype(float)
+    stat = k / n * (counts**2).sum(1) - n
     mean, var = k - 1.0, 2.0 * (k - 1) * (n - 1) / n
     shape = mean * mean / var
-    z = ((stat / mean) ** (1 / 3) - (1 - 1 / (9 * shape))) * math.sqrt(9 * shape)
-    return _normal_tail(z)
+    return _normal_tail(((stat / mean) ** (1 / 3) - (1 - 1 / (9 * shape))) * math.sqrt(9 * shape))
 
 
-def runs_p(x: np.ndarray, k: int) -> float:
-    """Two-sided runs test above and below the middle of the alphabet, given how many lie on each side."""
-    up = x * 2 >= k
-    n, a = len(x), int(up.sum())
+def runs_p(x: np.ndarray, k: int) -> np.ndarray:
+    """For each row: two-sided runs test above and below the middle of the alphabet, given how many lie on each side."""
+    up, n = x * 2 >= k, x.shape[1]
+    a = up.sum(1)
     b = n - a
-    if not a or not b:
-        return 2.0 ** (1 - n)
-    runs = 1 + int((up[1:] != up[:-1]).sum())
+    runs = 1 + (up[:, 1:] != up[:, :-1]).sum(1)
     mean = 2 * a * b / n + 1
-    var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-    z = max(0.0, abs(runs - mean) - 0.5) / math.sqrt(var)
-    return min(1.0, 2 * _normal_tail(z))
+    var = np.maximum(1e-9, (mean - 1) * (mean - 2) / (n - 1))
+    p = np.minimum(1.0, 2 * _normal_tail(np.maximum(0.0, np.abs(runs - mean) - 0.5) / np.sqrt(var)))
+    return np.where((a == 0) | (b == 0), 2.0 ** (1 - n), p)
+
+
+def serial_p(x: np.ndarray, k: int) -> np.ndarray:
+    """For each row: two-sided test of the correlation of neighbours, with its mean and variance under random order."""
+    n = x.shape[1]
+    y = x - x.mean(1, keepdims=True)
+    total = (y * y).sum(1)
+    r = (y[:, 1:] * y[:, :-1]).sum(1) / np.maximum(total, 1e-300)
+    p = np.minimum(1.0, 2 * _normal_tail(np.abs(r + 1 / n) * math.sqrt(n * n / (n - 2))))
+    return np.where(total == 0, 0.0, p)
+
+
+def least_p(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of the three tests' p values, for each row."""
+    return np.minimum(np.minimum(chi_squared_p(x, k), runs_p(x, k)), serial_p(x, k))
+
 
+#: Random tokens drawn for the law of the least p value; beyond LONGEST symbols it hardly changes any more.
+DRAWS, LONGEST = 2000, 400
 
-def serial_p(x: np.ndarray, k: int) -> float:
-    """Two-sided test of the correlation of neighbours, with its mean and variance under random order."""
-    n = len(x)
-    y = x - x.mean()
-    total = float((y * y).sum())
-    if total == 0:
-        return 0.0
-    r = float((y[1:] * y[:-1]).sum()) / total
-    return min(1.0, 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n * n / (n - 2))))
+
+@lru_cache(None)
+def null_law(k: int, n: int) -> np.ndarray:
+    """Sorted least p values of random tokens of n symbols out of k; always of the same draws."""
+    rng = np.random.default_rng([k, n])
+    return np.sort(np.concatenate([least_p(rng.integers(0, k, (100, n)), k) for _ in range(DRAWS // 100)]))
 
 
 def battery(token: str, encoding: str) -> float:
-    """p of the hypothesis that the token is random over its encoding: three times the least of three p values."""
-    body = token.rstrip("=")
+    """p of the hypothesis that the token is random over its encoding: where its least p value lies in the law of random tokens' of this length, so uniform for these; among equal ones the token's hash decides."""
     rank = _RANKS[encoding]
-    x, k = np.array([rank[c] for c in body]), len(rank)
-    return min(1.0, 3 * min(chi_squared_p(x, k), runs_p(x, k), serial_p(x, k)))
+    x = np.array([[rank[c] for c in token.rstrip("=")]])
+    law = null_law(len(rank), min(x.shape[1], LONGEST))
+    low, high = np.searchsorted(law, [least_p(x, len(rank))[0] * f for f in (1 - 1e-12, 1 + 1e-12)])
+    return float((low + (high - low + 1) * (xxhash.xxh3_64_intdigest(token) / 2**64)) / (DRAWS + 1))
 
 
 def length_class(n: int) -> int:
@@ -143,33 +166,42 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def thresholds(counts: dict[tuple[str, int], np.ndarray], q: float) -> dict[tuple[str, int], int]:
     """The least bin from which tokens count as random, for each encoding and length class, so that at most a share q of them is expected to be ordinary.
 
-    p is uniform for random tokens and near 0 for others, so the upper half of a stratum tells how many random tokens it
-    has: twice its count. Of the tokens from bin t on, (1 - t / BINS) of those are expected to be random; the rest are
-    false discoveries. A stratum of fewer than SPARSE tokens is pooled with the nearest
-    length classes of its encoding, then with other encodings, until there are as many; where no bin of the pool reaches
-    q, it stands alone. Where none of its own does either nothing is reported.
+    A stratum with fewer than SPARSE tokens in the upper half is pooled with the nearest length classes of its encoding,
+    then with other encodings, until there are as many. Where that doesn't come about, or no bin reaches q, nothing is
+    reported: so few tokens can't show that they are random.
     """
     out = {}
-    for (encoding, size), hist in counts.items():
+    for encoding, size in counts:
         pool = np.zeros(BINS)
-        for e, n in sorted(counts, key=lambda x: (x[0] != encoding, abs(x[1] - size), x)):
-            if pool.sum() >= SPARSE:
+        for e, n in sorted(counts, key=lambda x: (x != (encoding, size), x[0] != encoding, abs(x[1] - size), x)):
+            if pool[BINS // 2 :].sum() >= SPARSE:
                 break
             pool = pool + counts[e, n]
-        for h in (pool, hist):
-            if (t := _threshold(h, q)) is not None:
-                out[encoding, size] = t
-                break
+        if (t := _threshold(pool, q)) is not None:
+            out[encoding, size] = t
     return out
 
 
 def _threshold(hist: np.ndarray, q: float) -> int | None:
-    random = 2.0 * hist[BINS // 2 :].sum()
+    """p is uniform for random tokens, and less likely the higher for others.
+
+    So the tokens beyond some part are all random if they spread there evenly: the first of the STARTS beyond which enough
+    tokens don't lean to the low side tells how many random ones a bin has. Of the tokens from bin t on, those
+    beyond this are false discoveries, and one more. With fewer than 100 to tell, only they are reported.
+    """
     from_top = np.cumsum(hist[::-1])[::-1]
-    expected = random * (1 - np.arange(BINS) / BINS)
-    false = np.where(from_top > 0, 1 - np.minimum(expected, from_top) / np.maximum(from_top, 1), 1.0)
-    good = np.flatnonzero(false <= q)
-    return int(good[0]) if len(good) and random else None
+    for start, enough in STARTS:
+        lo = int(start * BINS)
+        n = from_top[lo]
+        if n < enough:
+            return None
+        middle = (hist[lo:] * (np.arange(BINS - lo) + 0.5)).sum() / (n * (BINS - lo))
+        if (middle - 0.5) * math.sqrt(12 * n) > -2.5:
+            expected = n / (BINS - lo) * (BINS - np.arange(BINS))
+            false = (1 + np.maximum(0, from_top - expected)) / np.maximum(from_top, 1)
+            good = np.flatnonzero((false <= q) & (np.arange(BINS) >= (LEVEL * BINS if n >= 100 else lo)))
+            return int(good[0]) if len(good) else None
+    return None
 
 
 def span_list(spans: Column) -> Column:
@@ -184,8 +216,9 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, id_col: str = "doc_id", tex
 
     Kinds assign, access and hex are fixed forms (base_spans). Kind random are tokens of 20 or more characters whose
     inferred encoding they fill like random draws: chi-squared uniformity of the alphabet, a runs test and a serial
-    correlation test, combined by Bonferroni, and cut where the share of false discoveries in the whole corpus is
-    expected to stay within fdr, by encoding and length class (thresholds). Tokens without both letters and digits,
+    correlation test, of which the least p value is set against its law for random tokens of that length, and cut where
+    the share of false discoveries in the whole corpus is expected to stay within fdr, by encoding and length class
+    (thresholds). Corpora with fewer than about 40 random tokens show too little, and report none. Tokens without both letters and digits,
     or letters of both cases (unless all digits), are not tested.
 
     Null and empty texts have no spans; repeated rows are scanned alike; an empty table gives an empty result. Other

@@ -88,3 +88,51 @@ def test_tokens_without_digits_and_of_rare_lengths():
     alone[S.BINS // 4] = 1
     cut = S.thresholds({("base62", 1): common, ("base62", 6): alone, ("base32", 0): alone}, 0.05)
     assert all(cut[k] <= S.BINS // 4 for k in (("base62", 1), ("base62", 6), ("base32", 0)))
+
+
+def test_p_of_random_tokens_is_uniform():
+    rng = np.random.default_rng(10)
+    for encoding, n in (("hex", 32), ("base62", 21), ("base64", 24), ("base32", 500)):
+        alphabet = S.ENCODINGS[encoding]
+        p = np.array([S.battery("".join(alphabet[i] for i in rng.integers(len(alphabet), size=n)), encoding) for _ in range(1500)])
+        assert all(abs((p > t).mean() - (1 - t)) < 0.05 for t in (0.1, 0.5, 0.9)), (encoding, n)
+
+
+def _corpus(rng, random_tokens, ordinary_tokens):
+    """Histograms of tokens drawn through the battery: random ones, and words with numbers, version strings and paths."""
+    words = ["user", "final", "report", "config", "backup", "Image", "Version", "build", "index", "Data", "release", "Model", "thumb", "Session", "cache"]
+    hists = {False: {}, True: {}}
+    for k in range(random_tokens + ordinary_tokens):
+        secret = k < random_tokens
+        if secret:
+            alphabet = S.ENCODINGS[("hex", "base62", "base64")[k % 3]]
+            token = "".join(alphabet[i] for i in rng.integers(len(alphabet), size=(32, 40, 24)[k % 3]))
+        else:
+            token = "".join(f"{words[rng.integers(15)]}{('', '_', rng.integers(100), 2000 + rng.integers(30))[rng.integers(4)]}" for _ in range(rng.integers(4, 8)))
+        encoding = S.infer_encoding(token)
+        if encoding and len(token) >= 20:
+            hist = hists[secret].setdefault((encoding, S.length_class(len(token))), np.zeros(S.BINS))
+            hist[min(S.BINS - 1, int(S.battery(token, encoding) * S.BINS))] += 1
+    return hists[True], hists[False]
+
+
+def test_false_share_over_corpora():
+    """With no, few and many random tokens, and ordinary ones through the battery, the mean share of ordinary ones among those reported stays within q."""
+    rng, shares, found = np.random.default_rng(11), {}, {}
+    for secrets in (0, 150, 1500):
+        for _ in range(8):
+            yes, no = _corpus(rng, secrets, 400)
+            cut = S.thresholds({k: yes.get(k, 0) + no.get(k, np.zeros(S.BINS)) for k in {*yes, *no}}, 0.05)
+            true, false = (sum(h[cut[k] :].sum() for k, h in part.items() if k in cut) for part in (yes, no))
+            shares.setdefault(secrets, []).append(false / max(1, true + false))
+            found.setdefault(secrets, []).append(true / max(1, secrets))
+    assert all(np.mean(x) <= 0.05 for x in shares.values()), shares
+    assert np.mean(found[1500]) > 0.6
+
+
+def test_nothing_random_is_not_reported():
+    """p values that only lean to the low side are no evidence, and neither is a single high one."""
+    rng = np.random.default_rng(12)
+    bins = lambda p: np.bincount(np.minimum(S.BINS - 1, (p * S.BINS).astype(int)), minlength=S.BINS).astype(float)
+    assert sum(bool(S.thresholds({("hex", 1): bins(rng.beta(0.6, 1.5, 5000))}, 0.05)) for _ in range(40)) <= 2
+    assert S.thresholds({("hex", 1): bins(np.array([0.75]))}, 0.05) == {}
