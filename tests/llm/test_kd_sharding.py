@@ -1,8 +1,10 @@
+import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm.kd_sharding import shard_by_bytes
+from kgloom.llm.kd_sharding import kd_tree, shard_by_bytes
 
 
 def test_shards_are_even_gapless_and_whole(spark):
@@ -36,3 +38,42 @@ def test_few_rows_and_other_shard_counts(spark):
     assert shard_by_bytes(df.limit(0), 8).collect() == []
     many = spark.range(900).selectExpr("id as doc_id", "concat('t', id) as text")
     assert sorted(c for _, c in shard_by_bytes(many, 3).groupBy("shard").count().collect())[0] > 280
+
+
+def plain_tree(rows, dims, shards, whole):
+    """{leaf: rows} of a k-d tree built by sorting: rows are (id, weight, coordinates)."""
+    if shards == 1 or not rows:
+        return {0: rows}
+    ends = [(min(r[2][d] for r in rows), max(r[2][d] for r in rows)) for d in range(dims)]
+    dim = max(range(dims), key=lambda d: ((ends[d][1] >> 32) - (ends[d][0] >> 32)) / whole[d])
+    weights = {}
+    for r in rows:
+        weights[r[2][dim]] = weights.get(r[2][dim], 0) + r[1]
+    due, left, cut = sum(r[1] for r in rows) * (shards // 2) / shards, 0, ends[dim][0] - 1
+    for x in sorted(weights):
+        if left + weights[x] > due:
+            if left + weights[x] - due < due - left:
+                cut = x
+            break
+        left, cut = left + weights[x], x
+    out = dict(plain_tree([r for r in rows if r[2][dim] <= cut], dims, shards // 2, whole))
+    right = plain_tree([r for r in rows if r[2][dim] > cut], dims, shards - shards // 2, whole)
+    return out | {shards // 2 + k: v for k, v in right.items()}
+
+
+@pytest.mark.parametrize("shards", [2, 7, 64])
+def test_against_a_plain_tree(spark, shards):
+    rng = random.Random(shards)
+    rows = [(i, rng.choice([1, 5, 40, 3000]) + rng.randrange(50), [rng.choice([3, 17, 900]) << 32 | rng.randrange(1 << 32), rng.randrange(1 << 30) << 32 | rng.randrange(1 << 32)]) for i in range(2000)]
+    whole = [max(1, (max(r[2][d] for r in rows) >> 32) - (min(r[2][d] for r in rows) >> 32)) for d in (0, 1)]
+    df = spark.createDataFrame([(i, w, *x) for i, w, x in rows], "id long, w long, d0 long, d1 long")
+    got = {r.id: r.node for r in kd_tree(df, ["d0", "d1"], "w", shards, "node", room=256).collect()}
+    want = {r[0]: k for k, part in plain_tree(rows, 2, shards, whole).items() for r in part}
+    assert got == want
+
+
+def test_leaves_reach_the_target(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "repeat(concat('t', id, ' '), 5 + int(id % 60)) as text")
+    total = df.selectExpr("sum(octet_length(text) + 1)").first()[0]
+    load = [r.b for r in shard_by_bytes(df, target_bytes=total // 250).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) in (250, 251) and max(load) < 1.6 * total / 250
