@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from kgloom.llm.common import BLANKS, ascii_lower, fresh
 
 
+#: A frequent line meets its documents in so many parts.
+SALTS = 16
+
+
 def line_keys(lines: Column) -> Column:
     return F.transform(lines, lambda x: ascii_lower(F.btrim(x, F.lit(BLANKS))))
 
@@ -29,15 +33,15 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1
     empty table gives an empty result.
 
     Only hashes are exploded and shuffled for the count; the texts are shuffled once, by row, to meet their frequent
-    lines. A line that most documents hold is counted from partial sums, and the join that hands it back is a plain
-    sort-merge join whose large partitions Spark splits.
+    lines. A line that most documents hold is counted from partial sums, and handed back by a join on the line and one of
+    SALTS parts of its documents.
     """
-    doc, text, lines, keys, hashes, hot, h, row = fresh(docs, "_id", "_text", "_lines", "_keys", "_hashes", "_hot", "_h", "_row")
+    doc, text, lines, keys, hot, h, row, salt = fresh(docs, "_id", "_text", "_lines", "_keys", "_hot", "_h", "_row", "_salt")
     base = docs.withColumns({doc: F.col(id_col), text: F.coalesce(F.col(text_col), F.lit("")), row: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("b"))})
     long_enough = F.filter(line_keys(F.split(F.col(text), "\n")), lambda k: F.length(k) >= min_length)
     seen = base.select(doc, row, F.explode(F.array_distinct(F.transform(long_enough, _hash))).alias(h))
-    frequent = seen.select(h, doc).distinct().groupBy(h).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select(h)
-    found = seen.join(frequent, h).groupBy(row).agg(F.collect_set(h).alias(hot))
+    frequent = seen.select(h, doc).distinct().groupBy(h).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select(h, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    found = seen.withColumn(salt, F.pmod(F.col(f"{row}.a"), F.lit(SALTS)).cast("int")).join(frequent, [h, salt]).groupBy(row).agg(F.collect_set(h).alias(hot))
     joined = base.join(found, row, "left").withColumn(lines, F.split(F.col(text), "\n"))
     kept = F.filter(F.col(lines), lambda x: ~F.exists(F.array(ascii_lower(F.btrim(x, F.lit(BLANKS)))), lambda k: (F.length(k) >= min_length) & F.array_contains(F.col(hot), _hash(k))))
     joined = joined.withColumn(keys, F.when(F.col(hot).isNull(), F.col(lines)).otherwise(kept))
