@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +40,24 @@ def scratch(spark: SparkSession) -> str:
     return (folder or _own[0]).rstrip("/")
 
 
+@contextmanager
+def _swept(spark: SparkSession):
+    """Shuffle files of what runs here go when it ends, not when the driver's garbage collector finds them unused."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    with _swept(spark):
+        df.write.parquet(path, compression=codec)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -54,7 +68,8 @@ def stored_by(df: DataFrame, column: str, values: tuple, label: str, codec: str
     """As stored, with a table for each value of an int column, which they lack; each can be discarded alone."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path, compression=codec)
+    with _swept(spark):
+        df.write.partitionBy(column).parquet(path, compression=codec)
     schema, out = df.drop(column).schema, {}
     for v in values:
         at = f"{path}/{column}={v}"

@@ -16,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import discard, release, stored
+from kgloom.llm.common import discard, release, stored, stored_by
 from kgloom.llm.components import connected
 from kgloom.llm.hashing import lower, mix, word_hashes
 
@@ -160,31 +159,33 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def objects(values: list) -> pd.Series:
-    """A column of values as they are, also where there are none."""
-    out = np.empty(len(values), object)
-    for i, v in enumerate(values):
-        out[i] = v
-    return pd.Series(out, dtype=object)
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists, without a copy."""
+    whole = column.combine_chunks()
+    values, ends = whole.values.to_numpy(zero_copy_only=False), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def list_array(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))).cast(pa.list_(pa.int64()))
 
 
 def _assemble(percent: int):
-    """applyInPandas function: a block's sets of which enough shingles are shared, with these shingles."""
-
-    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
-        meta = frame[frame.kind == META]
-        hits = [unpack(b) for b in frame[frame.kind == HIT].blob]
-        if not len(meta) or not hits:
-            return pd.DataFrame({"sid": objects([]), "n": np.zeros(0, np.int32), "ids": objects([])})
-        sizes = np.frombuffer(meta.blob.iloc[0], "<u4")
-        names = meta.sid.iloc[0]
-        ids, owner = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+    """applyInArrow function: a block's sets of which enough shingles are shared, with these shingles."""
+
+    def assemble(table: pa.Table) -> pa.Table:
+        rows = table.select(["kind", "blob", "sid"]).to_pylist()
+        meta, hits = [r for r in rows if r["kind"] == META], [unpack(r["blob"]) for r in rows if r["kind"] == HIT]
+        sizes = np.frombuffer(meta[0]["blob"] if meta and hits else b"", "<u4")
+        names = meta[0]["sid"] if meta else b""
+        ids, owner = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, np.int64) for k in (0, 1))
         order = np.argsort(owner, kind="stable")
         ids, owner = ids[order], owner[order]
         cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
         good = np.flatnonzero(np.diff(cuts) >= needed(sizes.astype(np.int64), percent))
         found = [np.sort(ids[cuts[k] : cuts[k + 1]]).astype(np.int64) for k in good]
-        return pd.DataFrame({"sid": objects([names[16 * k : 16 * k + 16] for k in good]), "n": sizes[good].astype(np.int32), "ids": objects(found)})
+        return pa.table({"sid": pa.array([names[16 * k : 16 * k + 16] for k in good], pa.binary()), "n": pa.array(sizes[good].astype(np.int32), pa.int32()), "ids": list_array(found)})
 
     return assemble
 
@@ -219,21 +220,22 @@ LINKS = "sid binary, hub binary, links long"
 
 
 def _join_region(percent: int):
-    """applyInPandas function: all pairs of a region (mode 0), or of its sides (mode 1), but those that were lent at one level."""
+    """applyInArrow function: all pairs of a region (mode 0), or of its sides (mode 1), but those that were lent at one level."""
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame] if int(frame["mode"].iloc[0]) == 0 else [frame[frame.side == 0], frame[frame.side == 1]]
+    def join(region: pa.Table) -> pa.Table:
+        side = region.column("side").to_numpy()
+        sides = [region] if region.column("mode")[0].as_py() == 0 else [region.filter(pa.array(side == k)) for k in (0, 1)]
         left, right = sides[0], sides[-1]
-        names, total = [sid for f in sides for sid in f.sid], len(frame)
-        n, mask, copies = ([f[c].to_numpy(np.int64) for f in (left, right)] for c in ("n", "mask", "copies"))
-        grid = linked(overlaps(list(left.ids), list(right.ids) if len(sides) > 1 else None), n[0], n[1], percent)
+        names = [sid for t in sides for sid in t.column("sid").to_pylist()]
+        n, mask, copies = ([t.column(c).to_numpy().astype(np.int64) for t in (left, right)] for c in ("n", "mask", "copies"))
+        grid = linked(overlaps(lists(left.column("ids")), lists(right.column("ids")) if len(sides) > 1 else None), n[0], n[1], percent)
         grid &= (mask[0][:, None] & mask[1][None, :]) == 0
         if len(sides) == 1:
             np.fill_diagonal(grid, False)
             links = grid @ copies[0]
         else:
             links = np.concatenate([grid @ copies[1], grid.T @ copies[0]])
-        hub = np.arange(total)
+        hub = np.arange(len(names))
         rows, cols = np.nonzero(grid)
         cols = cols + (len(left) if len(sides) > 1 else 0)
         while len(rows):  # the least place among neighbours, until it stays
@@ -244,7 +246,8 @@ def _join_region(percent: int):
             if (new == hub).all():
                 break
             hub = new
-        return pd.DataFrame({"sid": objects(names), "hub": objects([names[k] for k in hub]), "links": links})[lambda f: f.links > 0]
+        at = np.flatnonzero(links > 0)
+        return pa.table({"sid": pa.array([names[k] for k in at], pa.binary()), "hub": pa.array([names[k] for k in hub[at]], pa.binary()), "links": pa.array(links[at], pa.int64())})
 
     return join
 
@@ -253,17 +256,18 @@ def _pivot_distances(percent: int, bit: int):
     """Cogrouped function: sets of a slice of a region, the region's pivots; each set's home cell, and the cells it is lent to, which sets its bit of this level."""
     reach = 1 - percent / 100
 
-    def cells(sets: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        pivots = pivots.sort_values("sid")
-        n, p = sets.n.to_numpy(np.int64), pivots.n.to_numpy(np.int64)
-        inter = overlaps(list(sets.ids), list(pivots.ids))
+    def cells(sets: pa.Table, pivots: pa.Table) -> pa.Table:
+        pivots = pivots.sort_by("sid")
+        n, p = sets.column("n").to_numpy().astype(np.int64), pivots.column("n").to_numpy().astype(np.int64)
+        inter = overlaps(lists(sets.column("ids")), lists(pivots.column("ids")))
         far = 1 - inter / (n[:, None] + p[None, :] - inter)
         home = far.argmin(1)
         lent = (far <= far.min(1)[:, None] + 2 * reach + 1e-9) & (np.arange(len(p))[None, :] < home[:, None])
         i, j = np.nonzero(lent)
         at, cell = np.concatenate([np.arange(len(n)), i]), np.concatenate([home, j])
-        mask = sets["mask"].to_numpy(np.int64)[at] | np.repeat([0, 1 << bit], [len(n), len(i)])
-        return pd.DataFrame({"parent": sets.region.iloc[0], "cell": cell, "sid": sets.sid.to_numpy()[at], "n": n[at].astype(np.int32), "copies": sets.copies.to_numpy()[at], "ids": sets.ids.to_numpy()[at], "mask": mask})
+        mask = sets.column("mask").to_numpy()[at] | np.repeat([0, 1 << bit], [len(n), len(i)])
+        rows = sets.take(pa.array(at))
+        return pa.table({"parent": rows.column("region"), "cell": pa.array(cell, pa.int32()), "sid": rows.column("sid"), "n": rows.column("n"), "copies": rows.column("copies"), "ids": rows.column("ids"), "mask": pa.array(mask, pa.int64())})
 
     return cells
 
@@ -279,7 +283,7 @@ def _cut(sized: DataFrame, percent: int, bit: int, pivots: int, limit: int) -> D
     few = sized.where(F.pmod(F.xxhash64(F.lit(11 + bit), "sid"), F.lit(1 << 20)) < F.lit(1 << 20) * (2 * pivots + 8) / F.col("_rows"))
     chosen = few.groupBy("region", "_cost").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64(F.lit(5 + bit), "sid").alias("h"), "sid", "n", "ids"))), 1, pivots).alias("p"))
     spread = chosen.select("region", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)).alias("slice"), "p").select(F.col("region").alias("owner"), F.col("slice").alias("part"), F.explode("p").alias("p")).select("owner", "part", "p.sid", "p.n", "p.ids")
-    cells = sliced.groupBy("region", "slice").cogroup(spread.groupBy("owner", "part")).applyInPandas(_pivot_distances(percent, bit), "parent binary, cell int, sid binary, n int, copies long, ids array<long>, mask long")
+    cells = sliced.groupBy("region", "slice").cogroup(spread.groupBy("owner", "part")).applyInArrow(_pivot_distances(percent, bit), "parent binary, cell int, sid binary, n int, copies long, ids array<long>, mask long")
     return cells.select("parent", F.unhex(F.md5(F.concat("parent", F.col("cell").cast("string").cast("binary")))).alias("region"), *_SET)
 
 
@@ -303,7 +307,7 @@ def join_regions(regions: DataFrame, percent: int, limit: int = 1200, region_ids
     again, as long as the largest cell has at most three quarters of its region's sets and the cells together at most
     four times as many; others go to tiles.
     """
-    join = lambda df: df.groupBy("region").applyInPandas(_join_region(percent), LINKS)
+    join = lambda df: df.groupBy("region").applyInArrow(_join_region(percent), LINKS)
     found, todo, cells = [], regions.select("region", *[c for c in _SET if c != "mask"], F.lit(0).cast("long").alias("mask")), None
     for level in range(LEVELS + 1):
         counts = todo.groupBy("region").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.size("ids")).alias("_ids"))
@@ -336,7 +340,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col:
     size words, or, with fewer words, all of them as one. Rows with equal sets are linked; null and blank texts have
     an empty set and link with nothing. component_id is the smallest id that links reach, n_links counts the linked
     rows. A null id is a document like others, and names a component only where no id is there (null). Repeated rows
-    count as rows. An empty table gives an empty result. Other columns are ignored.
+    count as rows. An empty table gives an empty result. Other columns are ignored. Ids that are not numbers are null.
 
     Steps: (1) sets of a block of texts go to shards by shingle, each shingle once a block however many texts hold it,
     and shards answer which of them others have too; (2) only sets with percent of their shingles shared can link, the
@@ -345,16 +349,20 @@ def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col:
     shingles, 3e-4 documents are expected to hold two shingles of one number, and a pair that is compared does so
     with a chance of 5e-14.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    slim = docs.select(F.expr(f"try_cast(`{id_col}` as long)").alias("id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-total // shard_bytes))
     rows = slim.mapInArrow(_blocks(size, shards, block_chars), ROWS)
-    answered = stored(rows.groupBy("key").applyInArrow(_answer, ROWS), "jaccard-answers")
-    members = answered.where(f"kind = {DOC}").select("id", "sid", "n")
+    answered = stored_by(rows.groupBy("key").applyInArrow(_answer, ROWS), "kind", (DOC, HIT, META), "jaccard-answers", "zstd")
+    members = answered[DOC].select("id", "sid", "n")
     copies = members.where("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
-    likely = answered.where(f"kind in ({HIT}, {META})").groupBy("block").applyInPandas(_assemble(percent), "sid binary, n int, ids array<long>")
+    told = answered[HIT].withColumn("kind", F.lit(HIT)).unionByName(answered[META].withColumn("kind", F.lit(META)))
+    likely = told.groupBy("block").applyInArrow(_assemble(percent), "sid binary, n int, ids array<long>")
     likely = likely.groupBy("sid").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
-    likely = stored(likely.join(copies.select("sid", "copies"), "sid"), "jaccard-sets")
+    likely = stored(likely.join(copies.select("sid", "copies"), "sid"), "jaccard-sets", "zstd")
+    for table in (answered[HIT], answered[META]):
+        discard(table)
     each = likely.select("sid", "n", F.explode("ids").alias("h"))
     frequent = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(frequent, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by_df"))
@@ -364,7 +372,10 @@ def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col:
     stars = connected(windows.join(hubs, "h").select(F.col("sid").alias("u"), F.col("hub").alias("v")))
     placed = stars.select(F.col("u").alias("sid"), F.col("v").alias("region")).union(stars.select(F.col("v").alias("sid"), F.col("v").alias("region")).distinct())
     regions = likely.join(placed, "sid").select("region", "sid", "n", "copies", "ids")
+    discard(windows)
     links = stored(join_regions(regions, percent, limit), "jaccard-links")
+    for table in (likely, stars):
+        discard(table)
     degree = links.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = connected(links.select(F.col("sid").alias("u"), F.col("hub").alias("v")))
     sets = copies.join(roots.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").join(degree, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
