@@ -22,7 +22,7 @@ def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.stack([((c - row) ** 2).sum(1) for row in q])) if len(q) else np.zeros((0, len(c)))
 
 
-def _partial(shared, k: int, metric: str):
+def _partial(shared, k: int, metric: str, own: bool):
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
         for frame in frames:
@@ -32,17 +32,24 @@ def _partial(shared, k: int, metric: str):
             ids = frame["id"].to_numpy()
             for lo in range(0, len(names), 256):
                 d = np.round(_distances(matrix[lo : lo + 256], cand, metric), 6)
+                queries, found, dists = [], [], []
                 for i, row in enumerate(d):
-                    top = np.lexsort((ids, row))[:k]
-                    yield pd.DataFrame({"query": names[lo + i], "candidate": ids[top], "dist": row[top]})
+                    among = np.arange(len(ids)) if own else np.flatnonzero(ids != names[lo + i])
+                    if 0 < k < len(among):
+                        among = among[row[among] <= np.partition(row[among], k - 1)[k - 1]]
+                    top = among[np.lexsort((ids[among], row[among]))[:k]]
+                    queries += [names[lo + i]] * len(top)
+                    found.append(ids[top])
+                    dists.append(row[top])
+                yield pd.DataFrame({"query": queries, "candidate": np.concatenate(found), "dist": np.concatenate(dists)})
 
     return search
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", block_rows: int = 8192) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", block_rows: int = 8192, own: bool = True) -> DataFrame:
     """query, rank, candidate, dist: the k nearest candidates of each query, ties by id; distances to 6 places.
 
-    queries, candidates: id, vec. Queries are a query set: they are broadcast in blocks of block_rows, and each block
+    queries, candidates: id, vec. Candidates of the query's own id count only with own. Queries are a query set: they are broadcast in blocks of block_rows, and each block
     meets every candidate where it is read; k candidates for each query and Arrow batch are shuffled.
     """
     if metric not in METRICS:
@@ -53,7 +60,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "eu
 
     def search(rows: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.vec for r in rows], np.float64)))
-        return candidates.select("id", "vec").mapInPandas(_partial(shared, k, metric), f"query {kind}, candidate {kind}, dist double")
+        return candidates.select("id", "vec").mapInPandas(_partial(shared, k, metric, own), f"query {kind}, candidate {kind}, dist double")
 
     for row in queries.select("id", "vec").toLocalIterator():
         block.append(row)
@@ -74,7 +81,7 @@ def cosine_distance(a, b):
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def pairwise_cosine(vectors: DataFrame) -> DataFrame:
-    """left, right, dist for all pairs of a given list of vectors (id, vec): each as a query against the list."""
-    n = vectors.count()
-    return nearest(vectors, vectors, max(1, n), "cosine").select(F.col("query").alias("left"), F.col("candidate").alias("right"), "dist")
+def pairwise_cosine(vectors: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """left, right, dist for all pairs of a given list of vectors (id, vec), or of it and others: each as a query against them."""
+    others = vectors if others is None else others
+    return nearest(vectors, others, max(1, others.count()), "cosine").select(F.col("query").alias("left"), F.col("candidate").alias("right"), "dist")

@@ -55,20 +55,16 @@ def containing(generated: DataFrame, nearest: DataFrame, kg: DataFrame, line: st
     """For each generated triple the first graph line that contains the nearest entities (query, candidate) of both its ends as substrings.
 
     Lines are read as text, so an end may match within a longer name. Containment has no equi-key: the distinct pairs
-    of nearest entities are the query set, broadcast in blocks against the lines.
+    of nearest entities are the query set, whose blocks meet the lines in one pass over each.
     """
-    from kgloom.sources.readers import local_blocks
+    from kgloom.sources.readers import held
 
     near = nearest.select("query", "candidate")
     pairs = generated.select(*NAMES).distinct().join(near.select(F.col("query").alias("head"), F.col("candidate").alias("near_head")), "head").join(near.select(F.col("query").alias("tail"), F.col("candidate").alias("near_tail")), "tail")
     lines = kg.select(line, text.triple_line(F.col("head"), F.col("relation"), F.col("tail")).alias("kg_line"))
-    found = None
-    for block in local_blocks(pairs.select("near_head", "near_tail").distinct(), 2000):
-        hit = lines.join(F.broadcast(block), F.contains("kg_line", "near_head") & F.contains("kg_line", "near_tail")).groupBy("near_head", "near_tail").agg(F.min(F.struct(line, "kg_line")).alias("first"))
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        return pairs.select(*NAMES, F.lit("").alias("kg_line")).where("false")
-    return pairs.join(found, ["near_head", "near_tail"]).select(*NAMES, F.col("first.kg_line").alias("kg_line"))
+    hits = held(lines, "kg_line", pairs.select("near_head", "near_tail").distinct(), F.array("near_head", "near_tail"), 20_000)
+    first = hits.groupBy("near_head", "near_tail").agg(F.min(F.struct(line, "kg_line")).alias("first"))
+    return pairs.join(first, ["near_head", "near_tail"]).select(*NAMES, F.col("first.kg_line").alias("kg_line"))
 
 
 def lookup(pairs: DataFrame, keys: DataFrame) -> DataFrame:

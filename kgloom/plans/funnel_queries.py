@@ -17,41 +17,42 @@ DOT = "list_sum(list_transform(range(1, len({0}.vec) + 1), lambda i: CAST({0}.ve
 COSINE = f"1 - {DOT.format('q', 'c')} / (sqrt({DOT.format('q', 'q')}) * sqrt({DOT.format('c', 'c')}))"
 
 
-def nearest_sql(distance: str, k: int, queries: str = "q.vec_id % 100 = 0", candidates: str = "c.vec_id % 100 <> 0", descending: str = "") -> str:
+def nearest_sql(distance: str, k: int, queries: str = "q.vec_id % 100 = 0", candidates: str = "c.vec_id <> q.vec_id", descending: str = "") -> str:
     return f"""SELECT query, CAST(rank AS INTEGER) AS rank, candidate, dist FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist {descending}, candidate) AS rank FROM (
 SELECT q.id AS query, c.id AS candidate, round({distance}, 6) AS dist FROM entities q, entities c WHERE {queries} AND {candidates})) WHERE rank <= {k}"""
 
 
-def _split(spark, sf):
+def _asked(spark, sf):
+    """The query set, and all rows."""
     e = X.entities(spark, sf)
-    return e.where("vec_id % 100 = 0"), e.where("vec_id % 100 <> 0")
+    return e.where("vec_id % 100 = 0"), e
 
 
 @query(f"{E} {nearest_sql(DOT.format('q', 'c'), 10, candidates='true', descending='DESC')}")
 def dense_topk(spark, sf):
-    return knn.nearest(_split(spark, sf)[0], X.entities(spark, sf), 10, "dot")
+    return knn.nearest(*_asked(spark, sf), 10, "dot")
 
 
 @query(f"{E} {nearest_sql(L2, 6)}")
 def knn_entities_k6(spark, sf):
-    return knn.nearest(*_split(spark, sf), 6)
+    return knn.nearest(*_asked(spark, sf), 6, own=False)
 
 
 @query(f"{E} {nearest_sql(L2, 1)}")
 def nearest_entity(spark, sf):
-    return knn.nearest(*_split(spark, sf), 1)
+    return knn.nearest(*_asked(spark, sf), 1, own=False)
 
 
 @query(f"{E}, near AS ({nearest_sql(L2, 6)}) SELECT query, candidate, round({COSINE}, 6) AS distance FROM near n JOIN entities q ON n.query = q.id JOIN entities c ON n.candidate = c.id")
 def cosine_distance(spark, sf):
-    near, e = knn.nearest(*_split(spark, sf), 6), X.entities(spark, sf)
+    near, e = knn.nearest(*_asked(spark, sf), 6, own=False), X.entities(spark, sf)
     both = near.join(e.select(F.col("id").alias("query"), F.col("vec").alias("a")), "query").join(e.select(F.col("id").alias("candidate"), F.col("vec").alias("b")), "candidate")
     return both.select("query", "candidate", F.round(knn.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query(f"{E} SELECT q.id AS \"left\", c.id AS \"right\", round({COSINE}, 6) + 0 AS dist FROM entities q, entities c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 = 0")
+@query(f"{E} SELECT q.id AS \"left\", c.id AS \"right\", round({COSINE}, 6) + 0 AS dist FROM entities q, entities c WHERE q.vec_id % 100 = 0")
 def pairwise_cosine(spark, sf):
-    pairs = knn.pairwise_cosine(_split(spark, sf)[0])
+    pairs = knn.pairwise_cosine(*_asked(spark, sf))
     return pairs.withColumn("dist", F.col("dist") + 0.0)
 
 
@@ -115,9 +116,9 @@ def similar_triples_lenient(spark, sf):
 @query(f"""{CANDIDATES}, near AS (SELECT query, candidate FROM candidates WHERE rank = 2)
 SELECT head, relation, tail, kg_line FROM (SELECT g.*, l.kg_line, row_number() OVER (PARTITION BY g.head, g.relation, g.tail ORDER BY l.line_no) AS r
 FROM (SELECT DISTINCT head, relation, tail FROM generated) g JOIN near a ON a.query = g.head JOIN near b ON b.query = g.tail
-JOIN (SELECT line_no, head || ', ' || relation || ', ' || tail AS kg_line FROM edges) l ON contains(kg_line, substring(a.candidate, 2, 1)) AND contains(kg_line, substring(b.candidate, 2, 1))) WHERE r = 1""")
+JOIN (SELECT line_no, head || ', ' || relation || ', ' || tail AS kg_line FROM edges) l ON contains(kg_line, a.candidate) AND contains(kg_line, b.candidate)) WHERE r = 1""")
 def substring_similar(spark, sf):
-    near = _candidates(spark, sf).where("rank = 2").select("query", F.substring("candidate", 2, 1).alias("candidate"))
+    near = _candidates(spark, sf).where("rank = 2").select("query", "candidate")
     return match.containing(X.generated(spark, sf).drop("iteration"), near, X.edges(spark, sf))
 
 

@@ -161,9 +161,9 @@ def fetch_and_filter(spark, sf):
     return _fetched(spark, sf).select("iteration", "doc_id", "source")
 
 
-@query("""SELECT doc_id, contains(lower(k), 'the') OR contains(lower(k), 'de') AS matches, source AS database FROM (SELECT doc_id, source, lang || ', ' || source || ', ' || substring(text, 1, 40) AS k FROM documents)""")
+@query("""SELECT doc_id, contains(lower(k), 'the') OR contains(lower(k), 'de') AS matches, source AS database FROM (SELECT doc_id, source, concat_ws(', ', lang, source, text) AS k FROM documents)""")
 def keywords_match_flag(spark, sf):
-    listed = F.concat_ws(", ", "lang", "source", F.substring("text", 1, 40))
+    listed = F.concat_ws(", ", "lang", "source", "text")
     return X.documents(spark, sf).select("doc_id", text.any_keyword_in(F.array(F.lit("The"), F.lit("DE")), listed).alias("matches"), F.col("source").alias("database"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.errors import AnalysisException
 
 from kgloom.functions import parse, text
+from kgloom.functions.search import sets_within
 
 ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("ArticleID", "Title", "Keywords", "Abstract", "Database", "SearchKeywords")] + [T.StructField("KeywordsMatch", T.BooleanType()), T.StructField("body", T.StringType())])
 TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("head", "relation", "tail")])
@@ -81,19 +82,28 @@ def sample_articles(df: DataFrame, k: int = 1, seed: int = 42) -> DataFrame:
 def fetch(documents: DataFrame, keywords: DataFrame, retmax: int, database: str = "source", block_rows: int = 2000) -> DataFrame:
     """Articles that hold all keywords of an iteration, at most retmax of each database, lowest ids first.
 
-    The keyword sets are a query set: blocks of them, of bounded size, meet all documents where these are read, and
-    only hits are shuffled.
+    The keyword sets are a query set: blocks of them, of bounded size, meet all documents where these are read, in one
+    pass over each text, and only hits are shuffled.
     """
-    hits = None
-    for block in local_blocks(keywords.select("iteration", "keywords"), block_rows):
-        found = documents.join(F.broadcast(block), text.all_keywords_in(F.col("keywords"), F.col("text")))
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        hits = documents.join(keywords.select("iteration", "keywords"), F.lit(False))
+    wanted = keywords.select("iteration", "keywords")
+    hits = held(documents, "text", wanted, F.col("keywords"), block_rows)
     ranked = hits.withColumn("_rank", F.row_number().over(W.partitionBy("iteration", database).orderBy("doc_id")))
     return ranked.where(F.col("_rank") <= retmax).drop("_rank")
 
 
+def held(texts: DataFrame, column: str, sets: DataFrame, words: Column, block_rows: int) -> DataFrame:
+    """texts with each row of sets whose words (an array) the column holds all; sets come in blocks of bounded size."""
+    found = texts.join(sets, F.lit(False))
+    listed = sets.withColumn("_words", words)
+    for block in local_blocks(listed, block_rows):
+        rows = [tuple(r) for r in block.collect()]
+        numbered = texts.sparkSession.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], T.StructType([T.StructField("_set", T.IntegerType()), *sets.schema.fields]))
+        within = sets_within(texts.sparkSession, [r[-1] for r in rows])
+        marked = texts.withColumn("_sets", within(F.col(column))).where(F.size("_sets") > 0).withColumn("_set", F.explode("_sets")).drop("_sets")
+        found = found.union(marked.join(F.broadcast(numbered), "_set").drop("_set"))
+    return found
+
+
 def local_blocks(df: DataFrame, rows: int):
     """df as local tables of at most so many rows, streamed to the driver a partition at a time."""
     block = []
