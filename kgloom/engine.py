@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ KINDS = ("similar", "equivalent", "exact", "correct", "wrong", "new", "new_beyon
 GENERATED = T.StructType([T.StructField("iteration", T.LongType()), *[T.StructField(n, T.StringType()) for n in NAMES], T.StructField("matched", T.BooleanType())])
 EVALUATED = T.StructType([T.StructField("evaluator", T.StringType()), T.StructField("iteration", T.LongType()), T.StructField("kind", T.StringType()), *[T.StructField(n, T.StringType()) for n in (*funnel.GEN, *NAMES)]])
 
+DONE = T.StructType([T.StructField("step", T.StringType()), T.StructField("iteration", T.LongType())])
+
 
 @dataclass
 class Engine:
@@ -41,6 +44,23 @@ class Engine:
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as stored in the run's work folder: what a model answered is never asked for again."""
+        path = self._path(f"work/{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _clear(self) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path("work"))
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def done(self, step: str) -> DataFrame:
+        """Iterations that a step has dealt with, whether or not they gave rows."""
+        return readers.results_or_empty(self.spark, self._path("done"), DONE).where(F.col("step") == step).select("iteration")
+
+    def _mark(self, iterations: DataFrame, step: str) -> None:
+        iterations.select(F.lit(step).alias("step"), F.col("iteration").cast("long").alias("iteration")).distinct().write.mode("append").parquet(self._path("done"))
+
     def generated(self) -> DataFrame:
         return readers.results_or_empty(self.spark, self._path("generated"), GENERATED)
 
@@ -57,13 +77,15 @@ class Engine:
 
     def generate(self, keywords: DataFrame, documents: DataFrame | None = None, copied: DataFrame | None = None) -> None:
         """Chunks (or copied ones: iteration, rank, chunk), prompts, answers, triples and matches of the iterations that aren't done."""
-        done = self.generated().select("iteration").distinct()
-        todo = keywords.where(F.col("iteration") >= self.start).join(done, "iteration", "left_anti")
+        done = self.generated().select("iteration").union(self.done("generated")).distinct()
+        todo = self._keep(keywords.where(F.col("iteration") >= self.start).join(done, "iteration", "left_anti"), "todo")
         chunks = copied if copied is not None else self.chunks(todo, documents)
         listed = chunks.groupBy("iteration").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
         prompts = todo.join(listed, "iteration").withColumn("prompt", F.concat_ws("\n", text.keyword_query(F.col("keywords")), F.array_join("chunks", "\n")))
         answers = self.generator(prompts).select(F.col("iteration").cast("long").alias("iteration"), F.inline(parse.model_triples(F.coalesce("answer", F.lit("")))))
         sinks.save_results(match.flagged(answers, self.graph).select("iteration", *NAMES, "matched"), self._path("generated"), ("iteration",))
+        self._mark(todo, "generated")
+        self._clear()
 
     def _unmatched(self, todo: DataFrame) -> DataFrame:
         return self.generated().where(~F.col("matched")).join(todo.select("iteration").distinct(), "iteration", "left_semi")
@@ -83,49 +105,58 @@ class Engine:
         """The funnel of each evaluator over the iterations that it hasn't done."""
         every = self.generated().select("iteration").distinct()
         for name, judges in self.evaluators.items():
-            done = self.evaluations() if legacy_union else self.evaluations().where(F.col("evaluator") == name)
-            todo = every.where(F.col("iteration") >= self.start).join(done.select("iteration").distinct(), "iteration", "left_anti")
+            own = self.evaluations() if legacy_union else self.evaluations().where(F.col("evaluator") == name)
+            done = own.select("iteration").union(self.done(f"evaluated:{name}")).distinct()
+            todo = self._keep(every.where(F.col("iteration") >= self.start).join(done, "iteration", "left_anti"), "todo")
             unmatched = self._unmatched(todo)
             triples = unmatched.select(*NAMES).distinct()
-            f = funnel.run(triples, self.near(triples), self.graph, judges, self.strictness)
+            f = funnel.run(triples, self._keep(self.near(triples), "near"), self.graph, judges, self.strictness, self._keep)
             parts = {"similar": f.similar, "equivalent": f.equivalent, "exact": f.exact, "correct": f.correct, "wrong": f.wrong, "new": f.new_beyond_equivalent, "new_beyond_exact": f.new_beyond_exact}
             if self.resolve_conflicts and "conflict" in judges:
-                found, removal = funnel.detect_conflicts(f.similar, judges["conflict"])
+                found, removal = funnel.detect_conflicts(f.similar, judges["conflict"], self._keep)
                 parts |= {"conflict": found, "removal": removal, "new_without_conflict": funnel.resolve(f.new_beyond_exact, removal)[0]}
             self._save(parts, unmatched, name)
+            self._mark(todo, f"evaluated:{name}")
+            self._clear()
 
     def _save(self, parts: dict[str, DataFrame], unmatched: DataFrame, name: str) -> None:
-        out = None
+        """Replaces all that an evaluator's iterations have of the kinds given; other kinds stay as they are."""
+        out = self.evaluations().where((F.col("evaluator") == name) & ~F.col("kind").isin(*parts)).join(unmatched.select("iteration").distinct(), "iteration", "left_semi").select(*EVALUATED.names)
         for kind, rows in parts.items():
-            part = self._spread(rows, unmatched, kind, name)
-            out = part if out is None else out.unionByName(part)
-        sinks.save_results(out, self._path("evaluations"), ("evaluator", "iteration", "kind"))
+            out = out.unionByName(self._spread(rows, unmatched, kind, name))
+        sinks.save_results(self._keep(out, "rows"), self._path("evaluations"), ("evaluator", "iteration"))
 
     def _pairs(self, name: str, kind: str) -> DataFrame:
         return self.evaluations().where((F.col("evaluator") == name) & (F.col("kind") == kind)).select(*funnel.GEN, *NAMES).distinct()
 
+    def _triples(self, name: str, kind: str) -> DataFrame:
+        """Generated triples of a kind."""
+        return self._pairs(name, kind).select(*[F.col(g).alias(c) for g, c in zip(funnel.GEN, NAMES)]).distinct()
+
     def evaluate_exact(self) -> None:
-        """Exact equivalence again for iterations that have equivalent triples but no exact result."""
+        """Exact equivalence again, and new knowledge beyond it, for iterations that have equivalent triples but no exact result."""
         for name, judges in self.evaluators.items():
             own = self.evaluations().where(F.col("evaluator") == name)
             lacking = own.where("kind = 'equivalent'").select("iteration").distinct().join(own.where("kind = 'exact'").select("iteration").distinct(), "iteration", "left_anti")
             unmatched = self._unmatched(lacking)
-            exact = funnel.agreed(self._pairs(name, "equivalent"), judges["exact"])
-            self._save({"exact": exact}, unmatched, name)
+            exact = self._keep(funnel.agreed(self._pairs(name, "equivalent"), judges["exact"]), "exact")
+            self._save({"exact": exact, "new_beyond_exact": match.without(self._triples(name, "correct"), exact)}, unmatched, name)
+            self._clear()
 
     def resolve(self) -> None:
         """Conflicts again for all iterations."""
         for name, judges in self.evaluators.items():
             unmatched = self._unmatched(self.generated())
-            found, removal = funnel.detect_conflicts(self._pairs(name, "similar"), judges["conflict"])
-            new = self._pairs(name, "new_beyond_exact").select(*[F.col(g).alias(c) for g, c in zip(funnel.GEN, NAMES)]).distinct()
+            found, removal = funnel.detect_conflicts(self._pairs(name, "similar"), judges["conflict"], self._keep)
+            new = self._triples(name, "new_beyond_exact")
             self._save({"conflict": found, "removal": removal, "new_without_conflict": funnel.resolve(new, removal)[0]}, unmatched, name)
+            self._clear()
 
     def collect(self) -> DataFrame:
-        """Generated counts of each iteration with a map from evaluator to how many rows of each kind it has."""
-        counts = self.evaluations().groupBy("evaluator", "iteration").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("kind", F.lit(1).alias("n"))))).alias("kinds"), F.count(F.lit(1)).alias("n_rows"))
+        """Generated counts of each iteration with a map from evaluator to how many rows it has, in all and (kinds) of each kind."""
+        counts = self.evaluations().groupBy("evaluator", "iteration", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("evaluator", "iteration").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("kinds"), F.sum("n").alias("n_rows"))
         made = self.generated().groupBy("iteration").agg(F.count(F.lit(1)).alias("n_generated"), F.count(F.when(F.col("matched"), 1)).alias("n_matched"))
-        return state.combined(made, counts.select("evaluator", "iteration", "n_rows"), ["n_rows"])
+        return state.combined(made, counts, ["n_rows"])
 
     def mask(self, keywords: DataFrame, tag: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The graph's triples, entities and relations that keywords touch; written as text files where a tag is given."""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from kgloom.engine import Engine
 from kgloom.functions import text
 from kgloom.operators import funnel
-from kgloom.operators.judge import ExpressionJudge
+from kgloom.operators.judge import ClientJudge, ExpressionJudge
 
 
 def engine(spark, folder):
@@ -43,3 +43,57 @@ def test_modes(spark, tmp_path):
     assert (triples.count(), entities.count(), relations.count()) == (2, 3, 1)
     with pytest.raises(ValueError):
         e.run("other")
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """A client that notes its prompts: one prompt for each row of a stage, none in a second run, whatever the iteration gave."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def client(kind, answer):
+        folder = str(notes)
+
+        def make():
+            import os
+            import uuid
+
+            def ask(prompt):
+                with open(os.path.join(folder, f"{kind}-{uuid.uuid4().hex}"), "w") as f:
+                    f.write(prompt)
+                return answer
+
+            return ask
+
+        return make
+
+    e = engine(spark, str(tmp_path / "run"))
+    pair = F.concat_ws(" ", *funnel.GEN, *funnel.NAMES)
+    own = F.concat_ws(" ", *funnel.NAMES)
+    prompts = {"entity": F.concat_ws(" ", "query", "candidate"), "similar": pair, "equivalent": pair, "exact": pair, "correct": own, "conflict": F.col("triples")}
+    e.evaluators = {"one": {k: ClientJudge(client(k, "TRUE"), p) for k, p in prompts.items()}}
+    e.generator = ClientJudge(client("generate", "(asprin, eases, pain)"), F.col("prompt"))
+    e.resolve_conflicts = True
+    keywords = spark.createDataFrame([(0, ["pain"]), (1, ["fever"]), (2, ["absent"])], "iteration long, keywords array<string>")
+    documents = spark.createDataFrame([(1, "The pain is here. Other words", "s"), (2, "fever and pain. A fever", "s")], "doc_id long, text string, source string")
+    e.run("generate_and_eval", keywords=keywords, documents=documents)
+    asked = {}
+    for f in notes.iterdir():
+        asked.setdefault(f.name.split("-")[0], []).append(f.read_text())
+    assert set(asked) == {"generate", *prompts} and all(len(v) == len(set(v)) for v in asked.values()), asked
+    assert {r.iteration for r in e.done("generated").collect()} == {0, 1, 2}
+    e.run("generate_and_eval", keywords=keywords, documents=documents)
+    assert len(list(notes.iterdir())) == sum(map(len, asked.values()))
+
+
+def test_a_rerun_leaves_no_stale_kinds(spark, tmp_path):
+    e = engine(spark, str(tmp_path / "run"))
+    keywords = spark.createDataFrame([(0, ["pain"])], "iteration long, keywords array<string>")
+    documents = spark.createDataFrame([(1, "The pain is here", "s")], "doc_id long, text string, source string")
+    e.run("generate_and_eval", keywords=keywords, documents=documents)
+    e.run("conflict_resolve")
+    kinds = lambda: {r.kind for r in e.evaluations().collect()}
+    assert "removal" in kinds()
+    before = e.evaluations().where("kind = 'similar'").count()
+    e.evaluators["one"]["conflict"] = ExpressionJudge(F.lit("no conflicting triples"))
+    e.run("conflict_resolve")
+    assert not {"removal", "conflict"} & kinds() and e.evaluations().where("kind = 'similar'").count() == before
