@@ -57,3 +57,11 @@ def conflicts(text: Column) -> tuple[Column, Column]:
     found = F.when(says(NO_CONFLICT), none).otherwise(model_triples(strip(_before(first, "explanation:"))))
     removal = F.when(says(NO_REMOVAL), none).otherwise(F.filter(model_triples(strip(_before(last, "explanation:"))), lambda t: F.array_contains(found, t)))
     return found, removal
+
+
+def tuple_key(key: Column, names: list[str]) -> Column:
+    """A struct of a key that was saved as a tuple's text, each part quoted either way; null where it isn't one. It is matched, never evaluated."""
+    part = r"""(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")"""
+    pattern = r"(?s)^\(" + ", ".join([part] * len(names)) + r"\)$"
+    plain = lambda i: F.regexp_replace(F.concat(F.regexp_extract(key, pattern, 2 * i + 1), F.regexp_extract(key, pattern, 2 * i + 2)), r"\\(['\"\\])", "$1")
+    return F.when(F.regexp_like(key, F.lit(pattern)), F.struct(*[plain(i).alias(n) for i, n in enumerate(names)]))

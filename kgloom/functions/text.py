@@ -90,3 +90,14 @@ def any_keyword_in(keywords: Column, text: Column) -> Column:
 
 def all_keywords_in(keywords: Column, text: Column) -> Column:
     return F.forall(keywords, lambda k: F.contains(text, k))
+
+
+def triple_sentence(head: Column, relation: Column, tail: Column) -> Column:
+    """A triple as text to embed."""
+    return F.concat_ws(" ", head, relation, tail)
+
+
+def article_record(terms: Column, title: Column, abstract: Column, keywords: Column) -> Column:
+    """The four fields kept of a MEDLINE record: its terms (OT) joined, title (TI), abstract (AB), and whether a keyword is among the terms; what lacks is empty."""
+    listed = F.coalesce(F.array_join(terms, ", "), F.lit(""))
+    return F.struct(listed.alias("keywords"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(abstract, F.lit("")).alias("abstract"), any_keyword_in(keywords, listed).alias("keywords_match"))

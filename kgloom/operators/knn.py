@@ -46,6 +46,22 @@ def _partial(shared, k: int, metric: str, own: bool):
     return search
 
 
+def encoder(make, batch: int = 128, max_chars: int | None = None):
+    """A function from a text column to its vectors. make() gives a function from a list of texts to rows of numbers; it runs once a task, so a model is loaded once, and gets batches of texts, cut to max_chars where that is given. Null texts have null vectors."""
+
+    @F.pandas_udf("array<double>")
+    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for s in series:
+            texts, out = [t[:max_chars] for t in s if t is not None], []
+            for lo in range(0, len(texts), batch):
+                out += [[float(x) for x in row] for row in model(texts[lo : lo + batch])]
+            rows = iter(out)
+            yield pd.Series([None if t is None else next(rows) for t in s], dtype=object)
+
+    return encode
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", block_rows: int = 8192, own: bool = True) -> DataFrame:
     """query, rank, candidate, dist: the k nearest candidates of each query, ties by id; distances to 6 places.
 
@@ -55,12 +71,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "eu
     if metric not in METRICS:
         raise ValueError(f"no metric {metric!r}")
     spark = candidates.sparkSession
-    kind = dict(candidates.dtypes)["id"]
+    kind, asked = dict(candidates.dtypes)["id"], dict(queries.dtypes)["id"]
     found, block = None, []
 
     def search(rows: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.vec for r in rows], np.float64)))
-        return candidates.select("id", "vec").mapInPandas(_partial(shared, k, metric, own), f"query {kind}, candidate {kind}, dist double")
+        return candidates.select("id", "vec").mapInPandas(_partial(shared, k, metric, own), f"query {asked}, candidate {kind}, dist double")
 
     for row in queries.select("id", "vec").toLocalIterator():
         block.append(row)
@@ -68,7 +84,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "eu
             part = search(block)
             found, block = part if found is None else found.union(part), []
     if block or found is None:
-        part = search(block) if block else candidates.select(F.col("id").alias("query"), F.col("id").alias("candidate"), F.lit(0.0).alias("dist")).where("false")
+        part = search(block) if block else candidates.select(F.lit(None).cast(asked).alias("query"), F.col("id").alias("candidate"), F.lit(0.0).alias("dist")).where("false")
         found = part if found is None else found.union(part)
     rank = F.row_number().over(W.partitionBy("query").orderBy("dist", "candidate"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)

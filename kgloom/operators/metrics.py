@@ -62,3 +62,23 @@ def filter_rate(candidates: DataFrame, confirmed: DataFrame, by: list[str]) -> D
     out = candidates.distinct().join(kept, candidates.columns, "left").groupBy(*by).agg(F.count(F.lit(1)).alias("n_original"), F.count("_k").alias("n_filtered"))
     gone = F.col("n_original") - F.col("n_filtered")
     return out.select(*by, "n_original", "n_filtered", gone.alias("n_filtered_out"), (100 * ratio(gone, F.col("n_original"))).alias("percent_filtered_out"))
+
+
+def accumulated(items: DataFrame, item: list[str], iteration: str = "iteration") -> DataFrame:
+    """For each iteration its items, those that no earlier one had, and both summed so far: with repeats, and distinct."""
+    counts = items.groupBy(iteration).agg(F.count(F.lit(1)).alias("n_items"))
+    first = items.groupBy(*item).agg(F.min(iteration).alias(iteration)).groupBy(iteration).agg(F.count(F.lit(1)).alias("n_new"))
+    every = counts.join(first, iteration, "left").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
+    so_far = W.orderBy(iteration).rowsBetween(W.unboundedPreceding, 0)  # one row for each iteration
+    return every.withColumns({"n_accumulated": F.sum("n_items").over(so_far), "n_distinct": F.sum("n_new").over(so_far)})
+
+
+def level_counts(levels: dict[str, DataFrame], correct: DataFrame, names: list[str]) -> DataFrame:
+    """iteration, level, n: distinct generated triples (gen_ columns) with a pair of the level, and those of them that are correct besides (level_and_correct)."""
+    good, out = correct.select("iteration", *names).distinct(), None
+    for name, pairs in levels.items():
+        own = pairs.select("iteration", *[F.col(f"gen_{c}").alias(c) for c in names]).distinct()
+        for level, rows in ((name, own), (f"{name}_and_correct", own.join(good, ["iteration", *names], "left_semi"))):
+            part = rows.groupBy("iteration").agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("n"))
+            out = part if out is None else out.union(part)
+    return out

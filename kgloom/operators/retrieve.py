@@ -109,7 +109,28 @@ def bm25_lucene_own(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 METHODS = {"bm25s": bm25_lucene, "rankbm25": bm25_okapi}
 
 
-def retrieve(method: str, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense(chunks: DataFrame, queries: DataFrame, k: int, encode) -> DataFrame:
+    """query_id, rank, doc_id, pos, score: the chunks of greatest product with a query's vector; encode gives a text column's vectors."""
+    from kgloom.operators import knn
+
+    where = F.struct("doc_id", "pos")
+    vectors = chunks.select(F.to_json(where).alias("id"), encode(F.col("chunk")).alias("vec"))
+    asked = queries.select(F.col("query_id").alias("id"), encode(F.col("query")).alias("vec"))
+    found = knn.nearest(asked, vectors, k, "dot")
+    at = F.from_json("candidate", chunks.select(where.alias("s")).schema["s"].dataType)
+    return found.select(F.col("query").alias("query_id"), "rank", at.alias("at"), F.col("dist").alias("score")).select("query_id", "rank", "at.doc_id", "at.pos", "score")
+
+
+#: Names of the dense method, which differ in batches and devices only.
+DENSE = ("bge", "bge_cpu", "bge_nobatch")
+
+
+def retrieve(method: str, chunks: DataFrame, queries: DataFrame, k: int, encode=None) -> DataFrame:
+    """A retrieval method by name; dense ones need an encoder, a function from a text column to vectors (knn.encoder)."""
+    if method in DENSE:
+        if encode is None:
+            raise ValueError(f"{method!r} needs an encoder")
+        return dense(chunks, queries, k, encode)
     if method not in METHODS:
-        raise ValueError(f"no retrieval method {method!r}; there are {', '.join(METHODS)}")
+        raise ValueError(f"no retrieval method {method!r}; there are {', '.join((*METHODS, *DENSE))}")
     return METHODS[method](chunks, queries, k)

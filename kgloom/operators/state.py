@@ -54,3 +54,9 @@ def with_default(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
 def runs(spark, root: str) -> DataFrame:
     """Model and evaluator of the result folders below root, which is partitioned by dataset, run_id and evaluator."""
     return spark.read.parquet(root).select("dataset", "run_id", "evaluator").distinct()
+
+
+def from_start(all_iterations: DataFrame, done: DataFrame, start: int = 0) -> DataFrame:
+    """Iterations from start on, or where that is 0 from the one after the last done, but those that are done."""
+    first = start or last_iteration(done) + 1
+    return all_iterations.where(F.col("iteration") >= first).join(done.select("iteration").distinct(), "iteration", "left_anti")

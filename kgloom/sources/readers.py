@@ -35,6 +35,21 @@ def quoted_triples(lines: DataFrame) -> DataFrame:
     return lines.select(F.inline(parse.file_triples(F.col("value"))))
 
 
+def whole_keywords(lines: DataFrame) -> DataFrame:
+    """Each distinct whole line, stripped, as a keyword; a blank line is the empty keyword."""
+    return lines.select(text.strip(F.col("value")).alias("keyword")).distinct()
+
+
+def load_keywords(spark: SparkSession, path: str) -> DataFrame:
+    return whole_keywords(spark.read.text(path))
+
+
+def joined_lines(df: DataFrame, line: str, by: list[str], order: str) -> DataFrame:
+    """Each group's lines in order, joined by a comma and a space."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, line)))
+    return df.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x[line]), ", ").alias("joined"))
+
+
 def keyword_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """Non-blank stripped lines with their number, from 0, and the number of all lines."""
     clean = lines.select(order, text.strip(F.col("value")).alias("line")).where("line <> ''")
