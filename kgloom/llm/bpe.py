@@ -260,7 +260,7 @@ class Cache:
 class Vocabulary:
     """Merge ranks of byte strings, and a cache of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int] | Tables, room: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int] | Tables, room: int = 200_000):
         self.tables = ranks if isinstance(ranks, Tables) else Tables.of(ranks)
         self.tokens = self.tables.tokens
         self.ranks = {b: i for i, b in enumerate(self.tokens) if b is not None}

@@ -136,13 +136,16 @@ def _answer(table: pa.Table) -> pa.Table:
     blocks = asks.column("block").to_pylist()
     parts = [unpack(b.as_py()) for b in asks.column("blob")]
     ids, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+    del parts, asks
     order = np.argsort(ids, kind="stable")
-    ids, owner, source = ids[order], owner[order], source[order]
+    ids = ids[order]
     same = ids[1:] == ids[:-1]
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    hit = shared & (owner != MARK)
-    ids, owner, source = ids[hit], owner[hit], source[hit]
+    order, ids = order[shared], ids[shared]  # most shingles are nowhere else
+    hit = owner[order] != MARK
+    order, ids = order[hit], ids[hit]
+    owner, source = owner[order], source[order]
     order = np.argsort(source, kind="stable")
     ids, owner, source = ids[order], owner[order], source[order]
     out: dict[str, list] = {k: [] for k in _ROWS.names}
@@ -190,7 +193,7 @@ def _assemble(percent: int):
     return assemble
 
 
-def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None, width: int = 2048) -> np.ndarray:
     """Sizes of all intersections, exactly: products of 0/1 matrices over the shingles that two sets hold, some columns at a time."""
     both = [*sets, *(others or [])]
     ids = np.concatenate(both) if both else np.zeros(0, np.int64)
@@ -213,7 +216,12 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None, wid
 
 
 def linked(inter: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * inter >= percent * (n_left[:, None] + n_right[None, :] - inter)
+    """100 * J >= percent, a slice of rows at a time."""
+    out = np.empty(inter.shape, bool)
+    for lo in range(0, len(inter), 256):
+        own = inter[lo : lo + 256]
+        out[lo : lo + 256] = (100 + percent) * own >= percent * (n_left[lo : lo + 256, None] + n_right[None, :])
+    return out
 
 
 LINKS = "sid binary, hub binary, links long"
@@ -333,7 +341,7 @@ def join_regions(regions: DataFrame, percent: int, limit: int = 1200, region_ids
     return out
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = 1200, shard_bytes: int = 8 << 20, block_chars: int = 2 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = 1200, shard_bytes: int = 4 << 20, block_chars: int = 2 << 20) -> DataFrame:
     """id, n_shingles, component_id, n_links for each row of docs: the exact join of texts whose sets of word shingles have 100 * J >= percent.
 
     Words are runs of characters other than ASCII blanks, with A-Z lower-cased; a set holds the distinct shingles of
