@@ -82,3 +82,70 @@ def level_counts(levels: dict[str, DataFrame], correct: DataFrame, names: list[s
             part = rows.groupBy("iteration").agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("n"))
             out = part if out is None else out.union(part)
     return out
+
+
+#: Levels at which a generated triple can count as good, and a relevant one as found.
+PAIRED = ("similar", "equivalent", "exact")
+LEVELS = ("match", *PAIRED, "correct", *(f"{k}_and_correct" for k in PAIRED))
+
+
+def first_marks(generated: DataFrame, evaluations: DataFrame, relevant: DataFrame, item: list[str]) -> DataFrame:
+    """For each evaluator and triple: relevant (boolean), made (the first iteration that generated it), and by level the first iteration of a generated triple (good_...) and of a graph triple that corresponds to one (found_...).
+
+    One aggregation over all levels: each row of a kind becomes the marks of both its triples, with those of
+    level_and_correct where the generated one is correct in the same iteration.
+    """
+    gen = [f"gen_{c}" for c in item]
+    at = ["evaluator", "iteration", *gen]
+    ok = evaluations.where("kind = 'correct'").select(*at).distinct().withColumn("_ok", F.lit(True))
+    pairs = evaluations.where(F.col("kind").isin(*PAIRED)).select(*at, *item, "kind").join(ok, at, "left")
+    names = evaluations.select("evaluator").distinct()
+    levels = F.concat(F.array("kind"), F.when(F.col("_ok"), F.array(F.concat("kind", F.lit("_and_correct")))).otherwise(F.array().cast("array<string>")))
+    marked = pairs.select("evaluator", "iteration", F.explode(levels).alias("level"), *gen, *item)
+    mark = lambda side, cols: F.struct(F.concat(F.lit(f"{side}_"), "level").alias("mark"), *[F.col(g).alias(c) for g, c in zip(cols, item)])
+    both = marked.select("evaluator", "iteration", F.inline(F.array(mark("good", gen), mark("found", item))))
+    correct = ok.select("evaluator", "iteration", F.lit("good_correct").alias("mark"), *[F.col(g).alias(c) for g, c in zip(gen, item)])
+    of_all = generated.select("iteration", F.lit("made").alias("mark"), *item).unionByName(relevant.select(F.lit(0).cast("long").alias("iteration"), F.lit("relevant").alias("mark"), *item))
+    marks = both.unionByName(correct).unionByName(of_all.join(F.broadcast(names)))  # evaluators are a handful of configured names
+    first = lambda mark: F.min(F.when(F.col("mark") == mark, F.col("iteration")))
+    goods, founds = [f"good_{x}" for x in LEVELS[1:]], [f"found_{x}" for x in LEVELS[1:] if x != "correct"]
+    return marks.groupBy("evaluator", *item).agg(F.coalesce(F.bool_or(F.col("mark") == "relevant"), F.lit(False)).alias("relevant"), *[first(m).alias(m) for m in ("made", *goods, *founds)])
+
+
+def cumulative_levels(generated: DataFrame, evaluations: DataFrame, relevant: DataFrame, item: list[str]) -> DataFrame:
+    """evaluator, iteration, level, n_generated, n_relevant, n_found, n_good, recall, precision: of all that iterations up to this one gave.
+
+    generated: iteration and item columns; evaluations: evaluator, iteration, kind (similar, equivalent, exact, correct
+    count), gen_ and item columns; relevant: item columns. A relevant triple is found at a level if it was generated or
+    corresponds to a generated one of the level; a generated triple is good if it is relevant or of the level. Each counts
+    from its first iteration on, so running sums over the iterations give the counts of the sets accumulated; a window has
+    a row for each iteration.
+    """
+    first = first_marks(generated, evaluations, relevant, item)
+    made, known, events = F.col("made"), F.col("relevant"), []
+    for level in LEVELS:
+        good = F.col(f"good_{level}") if level != "match" else F.lit(None).cast("long")
+        found = F.col(f"found_{level}") if f"found_{level}" in first.columns else F.lit(None).cast("long")
+        row = lambda what, when, level=level: F.struct(F.lit(level).alias("level"), F.lit(what).alias("what"), when.cast("long").alias("iteration"))
+        events += [row("generated", made), row("found", F.when(known, F.least(made, found)))]
+        events.append(row("good", F.when(made.isNotNull(), F.when(known, made).when(good.isNotNull(), F.greatest(made, good)))))
+    counts = first.select("evaluator", F.inline(F.array(*events))).where("iteration is not null").groupBy("evaluator", "level", "iteration").agg(*[F.count(F.when(F.col("what") == w, 1)).alias(f"n_{w}") for w in ("generated", "found", "good")])
+    levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
+    every = generated.select("iteration").union(evaluations.select("iteration")).distinct().join(F.broadcast(evaluations.select("evaluator").distinct().select("evaluator", levels)))
+    total = relevant.select(*item).distinct().agg(F.count(F.lit(1)).alias("n_relevant"))
+    so_far = W.partitionBy("evaluator", "level").orderBy("iteration").rowsBetween(W.unboundedPreceding, 0)
+    sums = {f"n_{w}": F.sum(F.coalesce(f"n_{w}", F.lit(0))).over(so_far) for w in ("generated", "found", "good")}
+    out = every.join(counts, ["evaluator", "level", "iteration"], "left").withColumns(sums).join(F.broadcast(total))
+    return out.select("evaluator", "iteration", "level", "n_generated", "n_relevant", "n_found", "n_good", ratio(F.col("n_found"), F.col("n_relevant")).alias("recall"), ratio(F.col("n_good"), F.col("n_generated")).alias("precision"))
+
+
+def levels(generated: DataFrame, evaluations: DataFrame, relevant: DataFrame, item: list[str]) -> DataFrame:
+    """As cumulative_levels over all iterations at once: evaluator, level, counts, recall and precision, from one aggregation for all levels."""
+    first = first_marks(generated, evaluations, relevant, item)
+    made, known, rows = F.col("made").isNotNull(), F.col("relevant"), []
+    for level in LEVELS:
+        has = lambda side, level=level: F.col(f"{side}_{level}").isNotNull() if f"{side}_{level}" in first.columns else F.lit(False)
+        rows.append(F.struct(F.lit(level).alias("level"), made.alias("made"), known.alias("known"), (known & (made | has("found"))).alias("found"), (made & (known | has("good"))).alias("good")))
+    n = lambda c, name: F.count(F.when(F.col(c), 1)).alias(name)
+    out = first.select("evaluator", F.inline(F.array(*rows))).groupBy("evaluator", "level").agg(n("made", "n_generated"), n("known", "n_relevant"), n("found", "n_found"), n("good", "n_good"))
+    return out.select("*", ratio(F.col("n_found"), F.col("n_relevant")).alias("recall"), ratio(F.col("n_good"), F.col("n_generated")).alias("precision"))

@@ -105,8 +105,35 @@ def bm25_lucene_own(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _ranked(scores, k).select("query_id", "rank", "doc_id", "pos", "score")
 
 
+def bm25_okapi_own(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As bm25_okapi where each query has a corpus of its own (see bm25_lucene_own)."""
+    tokenised = chunks.select("query_id", "doc_id", "pos", space_tokens(F.col("chunk")).alias("tokens"))
+    asked = queries.select("query_id", F.explode(space_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    corpus = tokenised.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    df = tokenised.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(corpus, "query_id").select("query_id", "term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy("query_id").agg(F.avg("raw").alias("mean_idf"))
+    idf = raw.join(asked, ["query_id", "term"]).join(mean, "query_id").withColumn("idf", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")))
+    spread = tokenised.select("query_id", "doc_id", "pos", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("query_id", "term"), ["query_id", "term"], "left_semi")
+    tf = spread.groupBy("query_id", "term", "doc_id", "pos", "length").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length")) * (K1 + 1)
+    scores = tf.join(idf, ["query_id", "term"]).groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    # chunks without a common term score 0: every chunk of a query's corpus is ranked
+    every = chunks.select("query_id", "doc_id", "pos").join(queries.select("query_id"), "query_id", "left_semi").join(scores, ["query_id", "doc_id", "pos"], "left")
+    return _ranked(every.withColumn("score", F.coalesce("score", F.lit(0.0))), k).select("query_id", "rank", "doc_id", "pos", "score")
+
+
+def dense_own(chunks: DataFrame, queries: DataFrame, k: int, encode) -> DataFrame:
+    """As dense where each query has a corpus of its own: chunks meet their query alone."""
+    asked = queries.select("query_id", encode(F.col("query")).alias("_asked"))
+    product = F.aggregate(F.zip_with("vec", "_asked", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scores = chunks.select("query_id", "doc_id", "pos", encode(F.col("chunk")).alias("vec")).join(asked, "query_id").select("query_id", "doc_id", "pos", F.round(product, 6).alias("score"))
+    return _ranked(scores, k).select("query_id", "rank", "doc_id", "pos", "score")
+
+
 #: Retrieval methods by name.
 METHODS = {"bm25s": bm25_lucene, "rankbm25": bm25_okapi}
+OWN_METHODS = {"bm25s": bm25_lucene_own, "rankbm25": bm25_okapi_own}
 
 
 def dense(chunks: DataFrame, queries: DataFrame, k: int, encode) -> DataFrame:
@@ -125,12 +152,21 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, encode) -> DataFrame:
 DENSE = ("bge", "bge_cpu", "bge_nobatch")
 
 
-def retrieve(method: str, chunks: DataFrame, queries: DataFrame, k: int, encode=None) -> DataFrame:
-    """A retrieval method by name; dense ones need an encoder, a function from a text column to vectors (knn.encoder)."""
+def _by_name(method: str, k_and_rest: tuple, methods: dict, by_vectors, encode):
     if method in DENSE:
         if encode is None:
             raise ValueError(f"{method!r} needs an encoder")
-        return dense(chunks, queries, k, encode)
-    if method not in METHODS:
+        return by_vectors(*k_and_rest, encode)
+    if method not in methods:
         raise ValueError(f"no retrieval method {method!r}; there are {', '.join((*METHODS, *DENSE))}")
-    return METHODS[method](chunks, queries, k)
+    return methods[method](*k_and_rest)
+
+
+def retrieve(method: str, chunks: DataFrame, queries: DataFrame, k: int, encode=None) -> DataFrame:
+    """A retrieval method by name; dense ones need an encoder, a function from a text column to vectors (knn.encoder)."""
+    return _by_name(method, (chunks, queries, k), METHODS, dense, encode)
+
+
+def retrieve_own(method: str, chunks: DataFrame, queries: DataFrame, k: int, encode=None) -> DataFrame:
+    """As retrieve where chunks have a query_id: each query's corpus is its own chunks."""
+    return _by_name(method, (chunks, queries, k), OWN_METHODS, dense_own, encode)

@@ -34,7 +34,13 @@ ENTITIES_SQL = """sized AS (SELECT count(*) AS n FROM embeddings), entities AS (
 ), edges AS (
   SELECT 'e' || vec_id AS head, 'r' || label AS relation, 'e' || ((vec_id * 7 + 3) % n) AS tail, vec_id AS line_no FROM embeddings, sized
 ), generated AS (
-  SELECT 'e' || vec_id AS head, 'r' || (label + vec_id // 100) % 10 AS relation, 'e' || ((vec_id * 11 + 5) % n) AS tail, vec_id // 1000 AS iteration FROM embeddings, sized
+  SELECT 'e' || vec_id AS head, 'r' || (label + vec_id // 100) % 10 AS relation, 'e' || ((vec_id * 11 + 5) % n) AS tail, vec_id % 20 AS iteration FROM embeddings, sized
+)"""
+
+#: Every third generated triple comes again three iterations later, around the end to the first ones.
+AGAIN_SQL = f"""{ENTITIES_SQL}, again AS (
+  SELECT head, relation, tail, iteration FROM generated
+  UNION ALL SELECT head, relation, tail, (iteration + 3) % 20 FROM generated WHERE CAST(substring(head, 2) AS BIGINT) % 3 = 0
 )"""
 
 KEYWORDS_SQL = """keyword_sets AS (
@@ -82,7 +88,13 @@ def generated(spark: SparkSession, sf: str) -> DataFrame:
     n = e.count()
     name = lambda x: F.concat(F.lit("e"), x.cast("string"))
     relation = F.concat(F.lit("r"), ((F.col("label") + F.expr("vec_id div 100")) % 10).cast("string"))
-    return e.select(name(F.col("vec_id")).alias("head"), relation.alias("relation"), name((F.col("vec_id") * 11 + 5) % n).alias("tail"), F.expr("vec_id div 1000").alias("iteration"))
+    return e.select(name(F.col("vec_id")).alias("head"), relation.alias("relation"), name((F.col("vec_id") * 11 + 5) % n).alias("tail"), (F.col("vec_id") % 20).alias("iteration"))
+
+
+def again(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated triples, a third of them in two iterations."""
+    g = generated(spark, sf)
+    return g.unionByName(g.where("cast(substring(head, 2) as bigint) % 3 = 0").withColumn("iteration", (F.col("iteration") + 3) % 20))
 
 
 def keyword_sets(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,14 +46,12 @@ def stringified_keys(spark, sf):
     return X.generated(spark, sf).select(key.alias("key")).select(parse.tuple_key(F.col("key"), NAMES).alias("t")).select("t.*")
 
 
-@query(f"""{E}, items AS (SELECT iteration, relation, left(head, 3) AS head FROM generated),
-first AS (SELECT relation, head, min(iteration) AS iteration FROM items GROUP BY 1, 2),
-counts AS (SELECT iteration, count(*) AS n_items FROM items GROUP BY 1), new AS (SELECT iteration, count(*) AS n_new FROM first GROUP BY 1)
+@query(f"""WITH {X.AGAIN_SQL}, first AS (SELECT head, relation, tail, min(iteration) AS iteration FROM again GROUP BY 1, 2, 3),
+counts AS (SELECT iteration, count(*) AS n_items FROM again GROUP BY 1), new AS (SELECT iteration, count(*) AS n_new FROM first GROUP BY 1)
 SELECT iteration, n_items, coalesce(n_new, 0) AS n_new, CAST(sum(n_items) OVER (ORDER BY iteration) AS BIGINT) AS n_accumulated, CAST(sum(coalesce(n_new, 0)) OVER (ORDER BY iteration) AS BIGINT) AS n_distinct
 FROM counts LEFT JOIN new USING (iteration)""")
 def accumulation(spark, sf):
-    items = X.generated(spark, sf).select("iteration", "relation", F.substring("head", 1, 3).alias("head"))
-    return metrics.accumulated(items, ["relation", "head"])
+    return metrics.accumulated(X.again(spark, sf), NAMES)
 
 
 PAIRED = f"""{E}, pairs AS (SELECT g.iteration, g.head AS gen_head, g.relation AS gen_relation, g.tail AS gen_tail, e.head, e.relation, e.tail FROM generated g JOIN edges e ON g.head = e.head),
