@@ -272,11 +272,13 @@ class Engine:
         return state.combined(made, counts, ["n_rows"])
 
     def mask(self, keywords: DataFrame, tag: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The graph's triples, entities and relations that keywords touch; written as text files where a tag is given."""
-        triples = kg.mask(self.graph, keywords)
+        """The graph's triples, entities and relations that keywords touch; written as text files where a tag is given, triples in the order of the graph's line_no where it has one."""
+        order = "line_no" if "line_no" in self.graph.columns else None
+        ordered = kg.mask(self.graph, keywords, order)
+        triples = ordered.select(*NAMES)
         out = triples, kg.entities(triples), kg.relations(triples)
         if tag:
-            sinks.save_mask(*out, self.folder, tag)
+            sinks.save_mask(ordered, *out[1:], self.folder, tag, order)
         return out
 
     def metrics(self, keywords: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kgloom.sources.readers import dense_index
 
@@ -54,11 +55,36 @@ def top_entities(kg: DataFrame, k: int) -> DataFrame:
     return ends(kg).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(k)
 
 
-def mask(kg: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Distinct triples of which head, relation or tail is a keyword: the three parts as rows meet the keywords in one equi-join, instead of a join by OR."""
+def top_relations(kg: DataFrame, k: int) -> DataFrame:
+    """The k relations that most triples have."""
+    return kg.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "relation").limit(k)
+
+
+def example_triples(kg: DataFrame, relations: int, each: int) -> DataFrame:
+    """Examples for a prompt: of the relations that most triples have the triples whose two ends most triples have, rank 1 to each; ties by name.
+
+    An entity counts once for each triple it ends. Each relation's triples are narrowed by salt before they are ranked,
+    so no task ranks a whole relation.
+    """
+    degree = ends(kg).groupBy("entity").agg(F.count(F.lit(1)).alias("_n"))
+    few = top_relations(kg, relations)  # a row for each of so many
+    scored = kg.select(*NAMES).distinct().join(F.broadcast(few), "relation")
+    for c in ("head", "tail"):
+        scored = scored.join(degree.select(F.col("entity").alias(c), F.col("_n").alias(f"_{c}")), c)
+    scored = scored.withColumn("weight", F.col("_head") + F.col("_tail"))
+    best = [F.desc("weight"), F.asc("head"), F.asc("tail")]
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("head", "tail"), F.lit(64)))
+    some = salted.withColumn("_r", F.row_number().over(W.partitionBy("relation", "_salt").orderBy(*best))).where(F.col("_r") <= each)
+    return some.withColumn("rank", F.row_number().over(W.partitionBy("relation").orderBy(*best))).where(F.col("rank") <= each).select("relation", "rank", "head", "tail", "weight")
+
+
+def mask(kg: DataFrame, keywords: DataFrame, order: str | None = None) -> DataFrame:
+    """Distinct triples of which head, relation or tail is a keyword: the three parts as rows meet the keywords in one equi-join, instead of a join by OR. With order, a column of kg, each triple has its least value."""
     key = keywords.columns[0]
-    parts = kg.select(*NAMES, F.explode(F.array(*NAMES)).alias(key))
-    return parts.join(keywords, key, "left_semi").select(*NAMES).distinct()
+    kept = [*NAMES, *([order] if order else [])]
+    parts = kg.select(*kept, F.explode(F.array(*NAMES)).alias(key))
+    found = parts.join(keywords, key, "left_semi").select(*kept)
+    return found.groupBy(*NAMES).agg(F.min(order).alias(order)) if order else found.distinct()
 
 
 def with_relations(kg: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -66,11 +92,19 @@ def with_relations(kg: DataFrame, allowed: DataFrame) -> DataFrame:
     return kg.join(allowed, "relation", "left_semi").select(*NAMES)
 
 
-def cleaned(kg: DataFrame, excluded: DataFrame, max_length: int = 500) -> DataFrame:
-    """Triples without excluded relations, overlong, numeric or non-ASCII parts."""
+def cleaned(kg: DataFrame, excluded: DataFrame, max_length: int = 500, classes: DataFrame | None = None, excluded_classes: DataFrame | None = None) -> DataFrame:
+    """Triples without excluded relations, overlong, numeric or non-ASCII parts.
+
+    classes: entity, class (an entity may have several, or none); with excluded_classes (class) a triple goes if either
+    end has one of these.
+    """
     good = kg.join(excluded, "relation", "left_anti").select(*NAMES)
     for c in NAMES:
         good = good.where((F.length(c) <= max_length) & ~F.col(c).rlike(r"^\d+(\.\d+)?$") & ~F.col(c).rlike(r"[^\x00-\x7F]"))
+    if classes is not None and excluded_classes is not None:
+        banned = classes.join(excluded_classes.select("class"), "class", "left_semi").select("entity").distinct()
+        for c in ("head", "tail"):
+            good = good.join(banned.withColumnRenamed("entity", c), c, "left_anti").select(*NAMES)
     return good
 
 

@@ -64,6 +64,22 @@ def filter_rate(candidates: DataFrame, confirmed: DataFrame, by: list[str]) -> D
     return out.select(*by, "n_original", "n_filtered", gone.alias("n_filtered_out"), (100 * ratio(gone, F.col("n_original"))).alias("percent_filtered_out"))
 
 
+def filter_summary(candidates: DataFrame, confirmed: DataFrame, model: str, iteration: str = "iteration", key: str = "query") -> DataFrame:
+    """model, n_queries, n_original, n_filtered, n_filtered_out, percent_filtered_out of each model's first iteration, all queries together, and rows with a null model for all models.
+
+    candidates, confirmed: model, iteration, key and further columns that tell a candidate; repeated rows count once. The
+    first iteration of a model is the least one that has candidates.
+    """
+    first = candidates.groupBy(model).agg(F.min(iteration).alias(iteration))
+    kept = confirmed.select(*candidates.columns).distinct().withColumn("_k", F.lit(1))
+    rows = candidates.distinct().join(F.broadcast(first), [model, iteration], "left_semi").join(kept, candidates.columns, "left")  # a row for each model
+    each = rows.groupBy(model, key).agg(F.count(F.lit(1)).alias("_n"), F.count("_k").alias("_kept"))
+    per_model = each.groupBy(model).agg(F.count(F.lit(1)).alias("n_queries"), F.sum("_n").alias("n_original"), F.sum("_kept").alias("n_filtered"))
+    whole = per_model.agg(F.lit(None).cast(dict(candidates.dtypes)[model]).alias(model), *[F.sum(c).alias(c) for c in ("n_queries", "n_original", "n_filtered")]).where("n_original is not null")
+    gone = F.col("n_original") - F.col("n_filtered")
+    return per_model.union(whole).select(F.col(model), "n_queries", "n_original", "n_filtered", gone.alias("n_filtered_out"), (100 * ratio(gone, F.col("n_original"))).alias("percent_filtered_out"))
+
+
 def accumulated(items: DataFrame, item: list[str], iteration: str = "iteration") -> DataFrame:
     """For each iteration its items, those that no earlier one had, and both summed so far: with repeats, and distinct."""
     counts = items.groupBy(iteration).agg(F.count(F.lit(1)).alias("n_items"))

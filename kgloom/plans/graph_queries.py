@@ -75,6 +75,29 @@ def kg_clean_rules(spark, sf):
     return K.cleaned(X.graph(spark, sf), spark.createDataFrame([("supplies",)], "relation string"))
 
 
+@query(G + """, classes AS (SELECT p_name AS entity, p_type AS class FROM part UNION ALL SELECT n_name, 'nation' FROM nation UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+banned AS (SELECT entity FROM classes WHERE class IN ('ASIA', 'AFRICA') OR class LIKE '%BRASS')
+SELECT * FROM kg WHERE head NOT IN (SELECT entity FROM banned) AND tail NOT IN (SELECT entity FROM banned) AND relation <> 'made by'""")
+def kg_without_classes(spark, sf):
+    nation, region, part = (table(spark, sf, n) for n in ("nation", "region", "part"))
+    regions = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    classes = part.select(F.col("p_name").alias("entity"), F.col("p_type").alias("class")).union(nation.select("n_name", F.lit("nation"))).union(regions)
+    excluded = part.where("p_type like '%BRASS'").select(F.col("p_type").alias("class")).distinct().union(spark.createDataFrame([("ASIA",), ("AFRICA",)], "class string"))
+    return K.cleaned(X.graph(spark, sf), spark.createDataFrame([("made by",)], "relation string"), classes=classes, excluded_classes=excluded).where("relation <> 'made by'")
+
+
+@query(G + "SELECT relation, count(*) AS n FROM kg GROUP BY relation ORDER BY n DESC, relation LIMIT 5")
+def kg_top_relations(spark, sf):
+    return K.top_relations(X.graph(spark, sf), 5)
+
+
+@query(G + """, degree AS (SELECT entity, count(*) AS n FROM (SELECT head AS entity FROM kg UNION ALL SELECT tail FROM kg) GROUP BY entity),
+few AS (SELECT relation FROM kg GROUP BY relation ORDER BY count(*) DESC, relation LIMIT 4), scored AS (SELECT kg.*, a.n + b.n AS weight FROM kg JOIN few USING (relation) JOIN degree a ON a.entity = head JOIN degree b ON b.entity = tail)
+SELECT relation, CAST(rank AS INTEGER) AS rank, head, tail, weight FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY weight DESC, head, tail) AS rank FROM scored) WHERE rank <= 5""")
+def kg_example_triples(spark, sf):
+    return K.example_triples(X.graph(spark, sf), 4, 5)
+
+
 @query(G + """, per AS (SELECT entity, count(DISTINCT relation) AS n_relations FROM (SELECT head AS entity, relation FROM kg UNION ALL SELECT tail, relation FROM kg) GROUP BY entity)
 SELECT i.n_relations, coalesce(n_entities, 0) AS n_entities, round(100.0 * coalesce(n_entities, 0) / total, 6) AS percent
 FROM (SELECT unnest(range(1, 20)) AS n_relations) i LEFT JOIN (SELECT n_relations, count(*) AS n_entities FROM per GROUP BY 1) c USING (n_relations), (SELECT count(*) AS total FROM per)""")
