@@ -22,26 +22,46 @@ def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.stack([((c - row) ** 2).sum(1) for row in q])) if len(q) else np.zeros((0, len(c)))
 
 
-def _partial(shared, k: int, metric: str, own: bool):
+def _lists(asked: tuple, ids: np.ndarray, cand: np.ndarray, k: int | None, metric: str, own: bool) -> Iterator[pd.DataFrame]:
+    """query, candidate, dist of the k nearest among some candidates (all without k), for 256 queries at a time."""
+    names, matrix = asked
+    for lo in range(0, len(names), 256):
+        d = np.round(_distances(matrix[lo : lo + 256], cand, metric), 6)
+        queries, found, dists = [], [], []
+        for i, row in enumerate(d):
+            among = np.arange(len(ids)) if own else np.flatnonzero(ids != names[lo + i])
+            if k is not None:
+                if 0 < k < len(among):
+                    among = among[row[among] <= np.partition(row[among], k - 1)[k - 1]]
+                among = among[np.lexsort((ids[among], row[among]))[:k]]
+            queries += [names[lo + i]] * len(among)
+            found.append(ids[among])
+            dists.append(row[among])
+        yield pd.DataFrame({"query": queries, "candidate": np.concatenate(found), "dist": np.concatenate(dists)})
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _against(shared, k: int | None, metric: str, own: bool):
+    """mapInPandas function: candidates as they are read against all queries, which are broadcast."""
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
         for frame in frames:
-            if not len(frame):
-                continue
-            cand = np.stack(frame["vec"].to_numpy()).astype(np.float64)
-            ids = frame["id"].to_numpy()
-            for lo in range(0, len(names), 256):
-                d = np.round(_distances(matrix[lo : lo + 256], cand, metric), 6)
-                queries, found, dists = [], [], []
-                for i, row in enumerate(d):
-                    among = np.arange(len(ids)) if own else np.flatnonzero(ids != names[lo + i])
-                    if 0 < k < len(among):
-                        among = among[row[among] <= np.partition(row[among], k - 1)[k - 1]]
-                    top = among[np.lexsort((ids[among], row[among]))[:k]]
-                    queries += [names[lo + i]] * len(top)
-                    found.append(ids[top])
-                    dists.append(row[top])
-                yield pd.DataFrame({"query": queries, "candidate": np.concatenate(found), "dist": np.concatenate(dists)})
+            if len(frame) and len(shared.value[0]):
+                yield from _lists(shared.value, frame["id"].to_numpy(), _matrix(frame["vec"]), k, metric, own)
+
+    return search
+
+
+def _tiled(k: int | None, metric: str, own: bool):
+    """A tile of queries against a shard of candidates."""
+
+    def search(asked: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(cand):
+            return pd.DataFrame({"query": [], "candidate": [], "dist": []})
+        return pd.concat(list(_lists((list(asked["id"]), _matrix(asked["vec"])), cand["id"].to_numpy(), _matrix(cand["vec"]), k, metric, own)))
 
     return search
 
@@ -62,33 +82,39 @@ def encoder(make, batch: int = 128, max_chars: int | None = None):
     return encode
 
 
+def _product(queries: DataFrame, candidates: DataFrame, k: int | None, metric: str, block_rows: int, own: bool) -> DataFrame:
+    """query, candidate, dist: each query's k best candidates of each part of the candidates (all without k)."""
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}")
+    kind, asked = dict(candidates.dtypes)["id"], dict(queries.dtypes)["id"]
+    schema = f"query {asked}, candidate {kind}, dist double"
+    asking, among = (df.select("id", "vec").where("vec is not null") for df in (queries, candidates))
+    first = asking.limit(block_rows + 1).collect()
+    if len(first) <= block_rows:
+        matrix = np.array([r.vec for r in first], np.float64)
+        shared = candidates.sparkSession.sparkContext.broadcast(([r.id for r in first], matrix))
+        return among.mapInPandas(_against(shared, k, metric, own), schema)
+    tiles, shards = (max(1, -(-df.count() // block_rows)) for df in (asking, among))
+    deal = lambda df, key, n, copies, other: df.withColumn(key, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    left, right = deal(asking, "_tile", tiles, shards, "_shard"), deal(among, "_shard", shards, tiles, "_tile")
+    return left.groupBy("_tile", "_shard").cogroup(right.groupBy("_tile", "_shard")).applyInPandas(_tiled(k, metric, own), schema)
+
+
+def _signed(df: DataFrame, metric: str) -> DataFrame:
+    return df.withColumn("dist", -F.col("dist")) if metric == "dot" else df
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "euclidean", block_rows: int = 8192, own: bool = True) -> DataFrame:
     """query, rank, candidate, dist: the k nearest candidates of each query, ties by id; distances to 6 places.
 
-    queries, candidates: id, vec. Candidates of the query's own id count only with own. Queries are a query set: they are broadcast in blocks of block_rows, and each block
-    meets every candidate where it is read; k candidates for each query and Arrow batch are shuffled.
+    queries, candidates: id, vec; null vectors take no part. Candidates of the query's own id count only with own. Up to
+    block_rows queries are broadcast, and meet the candidates where these are read. More are dealt to tiles, candidates to
+    shards, of about block_rows rows each, and each tile meets each shard in a task. Either way k candidates for each
+    query and part are ranked last.
     """
-    if metric not in METRICS:
-        raise ValueError(f"no metric {metric!r}")
-    spark = candidates.sparkSession
-    kind, asked = dict(candidates.dtypes)["id"], dict(queries.dtypes)["id"]
-    found, block = None, []
-
-    def search(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r.id for r in rows], np.array([r.vec for r in rows], np.float64)))
-        return candidates.select("id", "vec").mapInPandas(_partial(shared, k, metric, own), f"query {asked}, candidate {kind}, dist double")
-
-    for row in queries.select("id", "vec").toLocalIterator():
-        block.append(row)
-        if len(block) >= block_rows:
-            part = search(block)
-            found, block = part if found is None else found.union(part), []
-    if block or found is None:
-        part = search(block) if block else candidates.select(F.lit(None).cast(asked).alias("query"), F.col("id").alias("candidate"), F.lit(0.0).alias("dist")).where("false")
-        found = part if found is None else found.union(part)
+    found = _product(queries, candidates, k, metric, block_rows, own)
     rank = F.row_number().over(W.partitionBy("query").orderBy("dist", "candidate"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.withColumn("dist", F.when(F.lit(metric == "dot"), -F.col("dist")).otherwise(F.col("dist"))).select("query", "rank", "candidate", "dist")
+    return _signed(found.withColumn("rank", rank).where(F.col("rank") <= k), metric).select("query", "rank", "candidate", "dist")
 
 
 def cosine_distance(a, b):
@@ -97,7 +123,7 @@ def cosine_distance(a, b):
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def pairwise_cosine(vectors: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """left, right, dist for all pairs of a given list of vectors (id, vec), or of it and others: each as a query against them."""
-    others = vectors if others is None else others
-    return nearest(vectors, others, max(1, others.count()), "cosine").select(F.col("query").alias("left"), F.col("candidate").alias("right"), "dist")
+def pairwise_cosine(vectors: DataFrame, others: DataFrame | None = None, block_rows: int = 8192) -> DataFrame:
+    """left, right, dist for all pairs of a given list of vectors (id, vec), or of it and others: the list is a query set, whose distances to all of the others are asked for; they are not ranked."""
+    pairs = _product(vectors, vectors if others is None else others, None, "cosine", block_rows, True)
+    return pairs.select(F.col("query").alias("left"), F.col("candidate").alias("right"), "dist")
