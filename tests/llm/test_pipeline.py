@@ -46,4 +46,40 @@ def test_near_copies_without_ids_or_under_one_id_stay_once(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _key string, _row int, score string, lang_pred string, n_dropped string, n_lines string, leaks string, component_id string"
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark, tmp_path):
+    """Extra columns come back as they were from every stage but the last, whatever their names; a very long text passes; an empty table stays empty."""
+    folder = str(tmp_path)
+    extra = ("k", 7, "0.1", "xx", "d", "l", "leak", "c")
+    long_text = " ".join(f"word{i} of a very long text" for i in range(30_000))
+    rows = [(i, t, lang, "s", len(t or ""), *extra) for i, t, lang in ROWS] + [(500, long_text, "en", "s", len(long_text), *extra), (501, "", "en", "s", 0, *extra)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    spark.createDataFrame([(1, "how many angels dance upon the head of a pin")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    empty = docs.limit(0)
+    for n, (_, stage) in enumerate(C.STAGES[:-1]):
+        docs, empty = stage(spark, docs, folder), stage(spark, empty, folder)
+        assert docs.columns == empty.columns == CLASHING.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+        docs.write.parquet(f"{folder}/s{n}")
+        docs = spark.read.parquet(f"{folder}/s{n}")
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == extra for r in got) and empty.collect() == []
+        assert [r.text for r in got if r.doc_id == 500] == [long_text]
+    assert C.STAGES[-1][1](spark, empty, folder).collect() == []
+
+
+def test_former_stages_are_discarded(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in ROWS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    import os
+
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(where))
+    out = C.run(spark, folder)
+    new = [x for x in set(os.listdir(where)) - before if x.startswith("pipeline-")]
+    assert len(new) == 1 and out.count() == len(out.collect()) > 0
