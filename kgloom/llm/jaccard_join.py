@@ -8,7 +8,8 @@ replicate a document to regions, and documents whose windows meet, directly or t
 Regions that are still large are cut by pivots that are documents, and there the metric divides well: each document
 has the nearest pivot's cell for its home and is lent to cells whose pivot is at most 2e farther. Cells are cut again
 until they fit a task. A set remembers by a bit for each level where it was lent; two sets that were both lent somewhere
-meet in another cell, so they are not compared there. What doesn't come apart is compared tile against tile.
+meet in another cell, so they are not compared there. What doesn't come apart is split by the shingles of the windows,
+where sets that share some without being near each other part; a dense group is compared tile against tile.
 """
 
 from __future__ import annotations
@@ -228,7 +229,7 @@ LINKS = "sid binary, hub binary, links long"
 
 
 def _join_region(percent: int):
-    """applyInArrow function: all pairs of a region (mode 0), or of its sides (mode 1), but those that were lent at one level."""
+    """applyInArrow function: all pairs of a region (mode 0), or of its sides (mode 1), but those that were lent at one level, and those that meet in the region of an earlier shingle."""
 
     def join(region: pa.Table) -> pa.Table:
         side = region.column("side").to_numpy()
@@ -238,6 +239,9 @@ def _join_region(percent: int):
         n, mask, copies = ([t.column(c).to_numpy().astype(np.int64) for t in (left, right)] for c in ("n", "mask", "copies"))
         grid = linked(overlaps(lists(left.column("ids")), lists(right.column("ids")) if len(sides) > 1 else None), n[0], n[1], percent)
         grid &= (mask[0][:, None] & mask[1][None, :]) == 0
+        earlier = [lists(t.column("before")) for t in (left, right)]
+        if sum(map(len, earlier[0])) and sum(map(len, earlier[1])):
+            grid &= overlaps(earlier[0], earlier[1] if len(sides) > 1 else None) == 0
         if len(sides) == 1:
             np.fill_diagonal(grid, False)
             links = grid @ copies[0]
@@ -281,6 +285,8 @@ def _pivot_distances(percent: int, bit: int):
 
 
 _SET = ["sid", "n", "copies", "ids", "mask"]
+#: The shingles before a region's own, which only regions of one shingle have.
+_NONE = "cast(array() as array<long>)"
 
 
 def _cut(sized: DataFrame, percent: int, bit: int, pivots: int, limit: int) -> DataFrame:
@@ -295,45 +301,82 @@ def _cut(sized: DataFrame, percent: int, bit: int, pivots: int, limit: int) -> D
     return cells.select("parent", F.unhex(F.md5(F.concat("parent", F.col("cell").cast("string").cast("binary")))).alias("region"), *_SET)
 
 
+def _sized(regions: DataFrame, limit: int, region_ids: int) -> DataFrame:
+    """Regions with how many sets they have (_rows) and what they cost a task, in sets (_cost)."""
+    counts = regions.groupBy("region").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.size("ids")).alias("_ids"))
+    cost = F.greatest(F.col("_rows"), F.ceil(F.col("_ids") * limit / region_ids)).alias("_cost")
+    return regions.join(counts.select("region", "_rows", cost), "region")
+
+
+def _by_shingle(sized: DataFrame, windows: DataFrame) -> DataFrame:
+    """Regions split by window shingle, where that leaves fewer pairs than half of all: (region, sets, before).
+
+    Sets that link share a shingle of both windows, so they meet in its region; in the first one of these that they
+    share, told by the shingles before it, they are compared. Shingles that the same sets hold are one.
+    """
+    held = sized.select("region", "_rows", "sid").join(windows, "sid")
+    members = held.groupBy("region", "_rows", "h").agg(F.count(F.lit(1)).alias("_df"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(F.lit(3), "sid")).alias("_xor")).where("_df > 1")
+    one = members.groupBy("region", "_rows", "_df", "_sum", "_xor").agg(F.min("h").alias("h"))
+    cheaper = one.groupBy("region", "_rows").agg(F.sum(F.col("_df").cast("double") * F.col("_df")).alias("_pairs")).where("2 * _pairs < _rows * cast(_rows as double)").select("region")
+    kept = one.select("region", "h").join(cheaper, "region")
+    lists = held.select("region", "sid", "h").join(kept, ["region", "h"]).groupBy("region", "sid").agg(F.sort_array(F.collect_list("h")).alias("_hs"))
+    each = lists.select("region", "sid", "_hs", F.posexplode("_hs").alias("_at", "h")).select("region", "sid", "h", F.slice("_hs", F.lit(1), F.col("_at")).alias("before"))
+    return each.join(sized.select("region", *_SET), ["region", "sid"]).select(F.col("region").alias("parent"), F.unhex(F.md5(F.concat("region", F.col("h").cast("string").cast("binary")))).alias("region"), *_SET, "before")
+
+
 def _tiles(sized: DataFrame, limit: int) -> DataFrame:
     """All pairs of a region in pairs of tiles, each of about half a task's cost: a tile by itself, then each with every later one."""
     t = sized.withColumn("_tiles", F.ceil(2 * F.col("_cost") / limit).cast("int"))
     t = t.withColumn("_t", F.pmod(F.xxhash64("sid"), F.col("_tiles")).cast("int"))
-    each = t.select("region", "_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_o"), *_SET)
+    each = t.select("region", "_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_o"), *_SET, "before")
     pair = F.unhex(F.md5(F.concat("region", F.concat_ws(":", F.lit(""), F.least("_t", "_o"), F.greatest("_t", "_o")).cast("binary"))))
-    return each.select(pair.alias("region"), *_SET, (F.col("_t") > F.col("_o")).cast("int").alias("side"), (F.col("_t") != F.col("_o")).cast("int").alias("mode"))
+    return each.select(pair.alias("region"), *_SET, "before", (F.col("_t") > F.col("_o")).cast("int").alias("side"), (F.col("_t") != F.col("_o")).cast("int").alias("mode"))
 
 
 #: Beyond so many levels a set's bits are used up; no level leaves a cell with more than three quarters of its region.
 LEVELS = 60
 
 
-def join_regions(regions: DataFrame, percent: int, limit: int = 1200, region_ids: int = 2_000_000, pivots: int = 16) -> DataFrame:
-    """(sid, hub, links) of the sets of each region (region, sid, n, copies, ids).
+def join_regions(regions: DataFrame, percent: int, limit: int = 1200, region_ids: int = 2_000_000, pivots: int = 16, windows: DataFrame | None = None) -> DataFrame:
+    """(sid, hub, links) of the sets of each region (region, sid, n, copies, ids). windows: sid, h of the shingles that sets which link share.
 
     A region of at most limit sets and region_ids shingles is one task. Larger ones are cut by pivots, and their cells
     again, as long as the largest cell has at most three quarters of its region's sets and the cells together at most
-    four times as many; others go to tiles.
+    four times as many. Others, whose sets share shingles without being near each other, or are one dense group, are
+    split by window shingle where that leaves fewer pairs (_by_shingle); what is still large goes to tiles.
     """
     join = lambda df: df.groupBy("region").applyInArrow(_join_region(percent), LINKS)
+    alone = lambda df: df.withColumn("before", F.expr(_NONE))
+    within = lambda df: join(df.select("region", *_SET, "before", F.lit(0).alias("side"), F.lit(0).alias("mode")))
     found, todo, cells = [], regions.select("region", *[c for c in _SET if c != "mask"], F.lit(0).cast("long").alias("mask")), None
+
+    def undivided(large: DataFrame) -> None:
+        if windows is None:
+            found.append(join(_tiles(alone(large), limit)))
+            return
+        split = stored(_by_shingle(large, windows), "shingle-regions")
+        parts = _sized(split.drop("parent"), limit, region_ids)
+        found.append(within(parts.where(F.col("_cost") <= limit)))
+        found.append(join(_tiles(parts.where(F.col("_cost") > limit), limit)))
+        rest = large.join(split.select(F.col("parent").alias("region")).distinct(), "region", "left_anti")
+        found.append(join(_tiles(alone(rest), limit)))
+
     for level in range(LEVELS + 1):
-        counts = todo.groupBy("region").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.size("ids")).alias("_ids"))
-        cost = F.greatest(F.col("_rows"), F.ceil(F.col("_ids") * limit / region_ids)).alias("_cost")
-        sized = stored(todo.join(counts.select("region", "_rows", cost), "region"), "regions")
+        sized = stored(_sized(todo, limit, region_ids), "regions")
         if cells is not None:
             discard(cells)
         small, large = sized.where(F.col("_cost") <= limit), sized.where(F.col("_cost") > limit)
-        found.append(join(small.select("region", *_SET, F.lit(0).alias("side"), F.lit(0).alias("mode"))))
+        found.append(within(alone(small)))
         if large.isEmpty():
             break
         if level == LEVELS:
-            found.append(join(_tiles(large, limit)))
+            undivided(large)
             break
         cells = stored(_cut(large, percent, level, pivots, limit), "cells")
         parts = cells.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("_n")).groupBy("parent").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
         whole = stored(large.select("region", "_rows").distinct().join(parts, F.col("region") == F.col("parent")).where("4 * _top > 3 * _rows or _all > 4 * _rows").select("region"), "regions")
-        found.append(join(_tiles(large.join(whole, "region", "left_semi"), limit)))
+        if not whole.isEmpty():
+            undivided(large.join(whole, "region", "left_semi"))
         todo = cells.join(whole, cells["parent"] == whole["region"], "left_anti").drop("parent")
     out = found[0]
     for more in found[1:]:
@@ -380,9 +423,8 @@ def similar_documents(docs: DataFrame, percent: int = 75, size: int = 5, id_col:
     stars = connected(windows.join(hubs, "h").select(F.col("sid").alias("u"), F.col("hub").alias("v")))
     placed = stars.select(F.col("u").alias("sid"), F.col("v").alias("region")).union(stars.select(F.col("v").alias("sid"), F.col("v").alias("region")).distinct())
     regions = likely.join(placed, "sid").select("region", "sid", "n", "copies", "ids")
-    discard(windows)
-    links = stored(join_regions(regions, percent, limit), "jaccard-links")
-    for table in (likely, stars):
+    links = stored(join_regions(regions, percent, limit, windows=windows), "jaccard-links")
+    for table in (likely, stars, windows):
         discard(table)
     degree = links.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = connected(links.select(F.col("sid").alias("u"), F.col("hub").alias("v")))

@@ -135,3 +135,36 @@ def test_regions_are_cut_again(spark, monkeypatch):
     for r in J.join_regions(regions, 92, limit=10, pivots=4).collect():
         found[bytes(r.sid)] += r.links
     assert found == want and len(want) > 30 and max(levels) >= 1
+
+
+def templated(rng, docs, pool):
+    """Documents of 8 paragraphs out of a pool, and some near copies of these."""
+    paragraphs = [" ".join(f"p{i}w{rng.randrange(10**6)}" for _ in range(20)) for i in range(pool)]
+    texts = [rng.sample(paragraphs, 8) for _ in range(docs)]
+    texts += [[*x[:7], x[7] + f" end{i}"] for i, x in enumerate(rng.sample(texts, docs // 20))]
+    return [" ".join(x) for x in texts]
+
+
+def test_templated_texts_are_not_compared_all_with_all(spark, monkeypatch):
+    """Documents that share paragraphs without linking are one region that pivots don't part: split by shingle, the pairs compared grow with the corpus where the pool of paragraphs grows with it."""
+    stored, pairs = J.stored, []
+
+    def noted(df, label, *rest):
+        out = stored(df, label, *rest)
+        if label == "shingle-regions":
+            pairs.append(sum(r["count"] ** 2 / 2 for r in out.groupBy("region").count().collect()))
+        return out
+
+    monkeypatch.setattr(J, "stored", noted)
+    compared = []
+    for docs, pool in ((500, 75), (1000, 150)):
+        rows = list(enumerate(templated(random.Random(docs), docs, pool)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        pairs.clear()
+        found = got(J.similar_documents(df, limit=100, block_chars=100_000, shard_bytes=200_000))
+        if docs == 500:
+            assert found == brute(rows)
+        assert sum(count for (*_, links), count in found.items() if links) >= docs // 10  # the near copies and their originals
+        compared.append(sum(pairs))
+    print("pairs compared:", compared)
+    assert 0 < compared[0] < 500**2 / 4 and compared[1] < 2.5 * compared[0], compared
