@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -92,6 +93,22 @@ def test_knn_in_blocks(spark):
         knn.nearest(v, v, 4, "other")
 
 
+def test_knn_of_a_table_against_itself_in_tiles(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(300, 6)), rng.integers(0, 2, (100, 6)), 3 + 1e-7 * rng.normal(size=(50, 6))])
+    e = spark.createDataFrame([(f"e{i}", [float(x) for x in p], i) for i, p in enumerate(points)], "id string, vec array<double>, n int")
+    asked = e.join(e.where("n % 3 > 0").select("id"), "id", "left_semi")
+    dist = np.round(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)), 6)
+    order = lambda i, own: sorted((dist[i, j], f"e{j}") for j in range(len(points)) if own or i != j)[:5]
+    for own in (True, False):
+        want = sorted((f"e{i}", r + 1, c) for i in range(len(points)) if i % 3 for r, (_, c) in enumerate(order(i, own)))
+        for block in (20, 8192):
+            assert sorted((r.query, r.rank, r.candidate) for r in knn.nearest(asked, e, 5, own=own, block_rows=block).collect()) == want
+    pairs = knn.pairwise_cosine(asked, e.where("n < 300"), block_rows=256)
+    assert pairs.count() == asked.count() * 300 and pairs.select("left", "right").distinct().count() == pairs.count()
+    assert {len(f) for f in knn._every((list("abc"), np.ones((3, 2))), np.arange(100_000), np.ones((100_000, 2)), "cosine", True)} == {100_000}
+
+
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), max_size=30), st.sets(st.integers(0, 9)))
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 def test_cumulative_metrics(spark, items, relevant):
