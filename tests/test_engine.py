@@ -97,3 +97,13 @@ def test_a_rerun_leaves_no_stale_kinds(spark, tmp_path):
     e.evaluators["one"]["conflict"] = ExpressionJudge(F.lit("no conflicting triples"))
     e.run("conflict_resolve")
     assert not {"removal", "conflict"} & kinds() and e.evaluations().where("kind = 'similar'").count() == before
+
+
+@pytest.mark.parametrize("name", ["prompts_conflicts", "prompts_correctness"])
+def test_segments_meet_short_rows_last(spark, name):
+    from kgloom.plans.all import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Aggregate [" in line]
+    assert keys and not any("chunks" in line.split("Aggregate [")[1].split("]")[0] for line in keys)
+    assert "RepartitionByExpression [iteration" in plan
