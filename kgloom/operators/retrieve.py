@@ -44,14 +44,28 @@ def space_tokens(x: Column) -> Column:
     return F.split(x, " ")
 
 
-def _matches(chunks: DataFrame, queries: DataFrame, tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term counts of chunks that share a term with a query, query terms with their counts, corpus sums)."""
+#: Fixed value: chunks whose terms a task counts.
+CHUNKS_PER_TASK = 200_000
+
+
+def _matches(chunks: DataFrame, queries: DataFrame, tokens, vocabulary: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(term counts of chunks that share a term with a query, query terms with their counts, corpus sums, chunks that hold each term: a query's or, with vocabulary, any)."""
     tokenised = chunks.select("doc_id", "pos", tokens(F.col("chunk")).alias("tokens"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    corpus = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    # one pass: the chunks of each term, and under a null term all chunks and their mean length
+    none = F.array(F.lit(None).cast("string"))
+    held = tokenised.select(F.size("tokens").alias("length"), F.explode(F.concat(F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")), none)).alias("term"))
+    if not vocabulary:
+        sought = asked.select(F.col("term").alias("sought")).distinct().union(queries.sparkSession.range(1).select(F.lit(None).cast("string")))
+        held = held.join(F.broadcast(sought), F.col("term").eqNullSafe(F.col("sought")), "left_semi")
+    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg(F.when(F.col("term").isNull(), F.col("length"))).alias("mean_length"))
+    # only the null term has a length; both sides read the same columns, so the pass is made once
+    corpus = counted.where("mean_length is not null").select(F.col("df").alias("n"), "mean_length")
     spread = tokenised.select("doc_id", "pos", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    wanted = spread.join(asked.select("term").distinct(), "term", "left_semi")
-    return wanted.groupBy("doc_id", "pos", "length", "term").agg(F.count(F.lit(1)).alias("tf")), asked, corpus
+    wanted = spread.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    # a chunk's terms stay in one task from here to its scores
+    dealt = wanted.repartition(max(1, -(-chunks.count() // CHUNKS_PER_TASK)) * 4, "doc_id", "pos")
+    return dealt.groupBy("doc_id", "pos", "length", "term").agg(F.count(F.lit(1)).alias("tf")), asked, corpus, counted.where("mean_length is null").select("term", "df")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -68,27 +82,28 @@ def bm25_lucene(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     chunks: doc_id, pos, chunk; queries: query_id, query. Only terms that a query has are counted.
     """
-    tf, asked, corpus = _matches(chunks, queries, lucene_tokens)
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus)).select("term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    tf, asked, corpus, df = _matches(chunks, queries, lucene_tokens)
+    idf = df.join(F.broadcast(corpus)).select("term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"))
-    scores = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = tf.join(F.broadcast(idf.join(asked, "term")), "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
     return _ranked(scores, k).select("query_id", "rank", "doc_id", "pos", "score")
 
 
 def bm25_okapi(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As bm25_lucene, by Okapi's BM25 over pieces between spaces: negative idf becomes a quarter of the vocabulary's mean idf, and chunks without a common term, which score 0, fill up to k."""
-    tf, asked, corpus = _matches(chunks, queries, space_tokens)
-    vocabulary = chunks.select(F.explode(F.array_distinct(space_tokens(F.col("chunk")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus))
+    tf, asked, corpus, df = _matches(chunks, queries, space_tokens, vocabulary=True)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean_idf = vocabulary.agg(F.avg(raw).alias("mean_idf"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus)).join(F.broadcast(mean_idf)).select("term", "mean_length", F.when(raw < 0, FLOOR * F.col("mean_idf")).otherwise(raw).alias("idf"))
+    vocabulary = df.join(F.broadcast(corpus)).select("term", "mean_length", raw.alias("raw"))
+    mean_idf = vocabulary.agg(F.avg("raw").alias("mean_idf"))
+    idf = vocabulary.join(asked, "term").join(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("raw") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw")))
     part = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean_length")) * (K1 + 1)
-    scores = tf.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = tf.join(F.broadcast(idf), "term").groupBy("query_id", "doc_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
     best = _ranked(scores, k).select("query_id", "doc_id", "pos", "score")
     # a query with m < k matches lacks k - m; the first 2k chunks hold as many that it doesn't match
     first = chunks.select("doc_id", "pos").orderBy("doc_id", "pos").limit(2 * k).agg(F.collect_list(F.struct("doc_id", "pos")).alias("first"))
-    filling = queries.select("query_id").join(F.broadcast(first)).select("query_id", F.inline("first")).join(best, ["query_id", "doc_id", "pos"], "left_anti").withColumn("score", F.lit(0.0))
-    return _ranked(best.unionByName(filling), k).select("query_id", "rank", "doc_id", "pos", "score")
+    filling = queries.select("query_id").join(F.broadcast(first)).select("query_id", F.inline("first")).withColumn("score", F.lit(None).cast("double"))
+    both = best.unionByName(filling).groupBy("query_id", "doc_id", "pos").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    return _ranked(both, k).select("query_id", "rank", "doc_id", "pos", "score")
 
 
 def bm25_lucene_own(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -189,3 +189,16 @@ def test_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):
         chunk_stream(spark, f"{p}/in", docs.schema, f"{p}/out", f"{p}/checkpoint", files_per_batch=1).awaitTermination()
     assert spark.read.parquet(f"{p}/out").count() == 12
+
+
+def test_bm25_deals_chunks_to_more_tasks_as_they_grow(spark, monkeypatch):
+    from kgloom.operators import retrieve
+
+    chunks = spark.createDataFrame([(i, 0, "common " * (1 + i % 3) + f"rare{i % 9}") for i in range(60)], "doc_id long, pos int, chunk string")
+    queries = spark.createDataFrame([(1, "common rare3"), (2, "rare5 rare5"), (3, "absent")], "query_id long, query string")
+    for rank, tokens in ((retrieve.bm25_lucene, retrieve.lucene_tokens), (retrieve.bm25_okapi, retrieve.space_tokens)):
+        want = rows(rank(chunks, queries, 4))
+        monkeypatch.setattr(retrieve, "CHUNKS_PER_TASK", 10)
+        assert rows(rank(chunks, queries, 4)) == want
+        assert retrieve._matches(chunks, queries, tokens)[0].rdd.getNumPartitions() == 24
+        monkeypatch.undo()
