@@ -202,3 +202,12 @@ def test_bm25_deals_chunks_to_more_tasks_as_they_grow(spark, monkeypatch):
         assert rows(rank(chunks, queries, 4)) == want
         assert retrieve._matches(chunks, queries, tokens)[0].rdd.getNumPartitions() == 24
         monkeypatch.undo()
+
+
+def test_what_conflicts_is_parsed_once_for_all_removals(spark):
+    from kgloom.functions import parse
+
+    answer = "Conflicting Triples: (a, r, b) (c, r, d) (e, r, f)\nRemoval Triples: (e, r, f) (a, r, b) (x, r, y)"
+    df = spark.createDataFrame([(answer,), (None,)], "a string").select(parse.conflicts(F.col("a"))[1].alias("removed"))
+    assert [r.removed and [t.head for t in r.removed] for r in df.collect()] == [["e", "a"], None]
+    assert "array_contains" not in df._jdf.queryExecution().optimizedPlan().toString()
