@@ -50,14 +50,14 @@ def odd(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["prompts_correctness"])
+@pytest.mark.parametrize("name", ["prompts_correctness", "prompts_conflicts"])
 def test_odd_conversations_as_in_sql(spark, odd, name):
     got, want = QUERIES[name](spark, odd[0]), odd[1].sql(ORACLE_SQL[name])
     rows = sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=repr)
     assert rows and rows == sorted(want.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["prompts_correctness"])
+@pytest.mark.parametrize("name", ["prompts_correctness", "prompts_conflicts"])
 def test_no_prompt_is_built(spark, name):
     """Segments pass by the hashes of all rows of a part; no row has them in a column, whole or in a prompt."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
